@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import COVERAGE, scan_benchmark
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 
@@ -63,5 +65,43 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-QUERIES = {"op3_mixing": op3_mixing, "op4_exact_dedup": op4_exact_dedup}
-ORACLES = {"op3_mixing": OP3_SQL, "op4_exact_dedup": OP4_SQL}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (COVERAGE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS m, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS g
+  FROM b, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS u(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT m FROM bw),
+dw AS (
+  SELECT r, m, i, array_to_string(w[i:i + m - 1], ' ') AS g
+  FROM d, sizes, unnest(range(1, len(w) - m + 2)) AS u(i)),
+hits AS (SELECT r, i, dw.m, item_id FROM dw JOIN bw ON dw.m = bw.m AND dw.g = bw.g),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS p FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+          FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+QUERIES = {"op3_mixing": op3_mixing, "op4_exact_dedup": op4_exact_dedup, "op10_decontamination": op10_decontamination}
+ORACLES = {"op3_mixing": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op10_decontamination": OP10_SQL}
