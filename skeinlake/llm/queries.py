@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import COVERAGE, scan_benchmark
 from .exact_dedup import exact_dedup
+from .minhash import near_duplicates
 from .mixing import mix_sources
 
 
@@ -65,6 +66,10 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -103,5 +108,5 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
-QUERIES = {"op3_mixing": op3_mixing, "op4_exact_dedup": op4_exact_dedup, "op10_decontamination": op10_decontamination}
+QUERIES = {"op3_mixing": op3_mixing, "op4_exact_dedup": op4_exact_dedup, "op7_minhash": op7_minhash, "op10_decontamination": op10_decontamination}
 ORACLES = {"op3_mixing": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op10_decontamination": OP10_SQL}
