@@ -10,6 +10,8 @@ from .decontaminate import COVERAGE, scan_benchmark
 from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .pii import find_pii, pii_digest
+from .span_sql import OP6_SQL
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,5 +110,10 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
-QUERIES = {"op3_mixing": op3_mixing, "op4_exact_dedup": op4_exact_dedup, "op7_minhash": op7_minhash, "op10_decontamination": op10_decontamination}
-ORACLES = {"op3_mixing": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op10_decontamination": OP10_SQL}
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(find_pii(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op3_mixing": op3_mixing, "op4_exact_dedup": op4_exact_dedup, "op6_pii": op6_pii, "op7_minhash": op7_minhash, "op10_decontamination": op10_decontamination}
+ORACLES = {"op3_mixing": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_pii": OP6_SQL, "op10_decontamination": OP10_SQL}
