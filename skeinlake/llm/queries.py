@@ -11,7 +11,8 @@ from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .pii import find_pii, pii_digest
-from .span_sql import OP6_SQL
+from .secrets import find_secrets, secret_digest
+from .span_sql import OP6_SQL, OP9_SQL
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,5 +116,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op4_exact_dedup": op4_exact_dedup, "op6_pii": op6_pii, "op7_minhash": op7_minhash, "op10_decontamination": op10_decontamination}
-ORACLES = {"op3_mixing": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_pii": OP6_SQL, "op10_decontamination": OP10_SQL}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op3_mixing": op3_mixing, "op4_exact_dedup": op4_exact_dedup, "op6_pii": op6_pii, "op7_minhash": op7_minhash, "op9_secrets": op9_secrets, "op10_decontamination": op10_decontamination}
+ORACLES = {"op3_mixing": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_pii": OP6_SQL, "op9_secrets": OP9_SQL, "op10_decontamination": OP10_SQL}
