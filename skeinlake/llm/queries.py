@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import COVERAGE, scan_benchmark
 from .exact_dedup import exact_dedup
+from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .pii import find_pii, pii_digest
@@ -120,5 +121,33 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op4_exact_dedup": op4_exact_dedup, "op6_pii": op6_pii, "op7_minhash": op7_minhash, "op9_secrets": op9_secrets, "op10_decontamination": op10_decontamination}
-ORACLES = {"op3_mixing": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_pii": OP6_SQL, "op9_secrets": OP9_SQL, "op10_decontamination": OP10_SQL}
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("text_sha256"))
+
+
+#: CTEs up to ``cleaned`` (doc_id, n_lines, n_kept, text); ``src`` has doc_id and text.
+LINES_SQL = r"""
+rows0 AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS ls FROM {src}),
+l0 AS (SELECT doc_id, r, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM rows0),
+l AS (SELECT *, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM l0),
+f AS (SELECT norm, min(struct_pack(d := doc_id, i := i)) AS pos, string_split(norm, ' ') AS w FROM l WHERE norm <> '' GROUP BY norm),
+fw AS (SELECT norm, pos, w, len(w) AS n FROM f WHERE len(w) >= 8),
+v AS (SELECT norm, pos, n, p, array_to_string(list_concat(w[1:p - 1], w[p + 1:]), ' ') AS var FROM fw, unnest(range(1, n + 1)) AS u(p)),
+near AS (
+  SELECT norm FROM (SELECT norm, pos, min(pos) OVER (PARTITION BY n, p, var) AS least FROM v) WHERE pos > least
+  UNION SELECT CASE WHEN v.pos > y.pos THEN v.norm ELSE y.norm END FROM v JOIN fw y ON v.var = y.norm),
+marked AS (
+  SELECT l.doc_id, l.r, l.i, l.line, l.norm <> '' AS full_line,
+         l.norm = '' OR (f.pos = struct_pack(d := l.doc_id, i := l.i) AND NOT EXISTS (SELECT 1 FROM near WHERE near.norm = l.norm)) AS keep
+  FROM l LEFT JOIN f ON l.norm = f.norm),
+cleaned AS (
+  SELECT r, doc_id, count(*) FILTER (full_line) AS n_lines, count(*) FILTER (full_line AND keep) AS n_kept,
+         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keep), '') AS text
+  FROM marked GROUP BY r, doc_id)"""
+
+OP1_SQL = "WITH " + LINES_SQL.replace("{src}", "documents") + """
+SELECT doc_id, n_lines, n_kept, sha256(text) AS text_sha256 FROM cleaned"""
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_mixing": op3_mixing, "op4_exact_dedup": op4_exact_dedup, "op6_pii": op6_pii, "op7_minhash": op7_minhash, "op9_secrets": op9_secrets, "op10_decontamination": op10_decontamination}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_pii": OP6_SQL, "op9_secrets": OP9_SQL, "op10_decontamination": OP10_SQL}
