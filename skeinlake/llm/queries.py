@@ -12,6 +12,7 @@ from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .pii import find_pii, pii_digest
+from .quality import judge_quality
 from .secrets import find_secrets, secret_digest
 from .span_sql import OP6_SQL, OP9_SQL
 
@@ -126,6 +127,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", "symbols", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), "accepted")
+
+
 #: CTEs up to ``cleaned`` (doc_id, n_lines, n_kept, text); ``src`` has doc_id and text.
 LINES_SQL = r"""
 rows0 AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS ls FROM {src}),
@@ -149,5 +155,5 @@ cleaned AS (
 OP1_SQL = "WITH " + LINES_SQL.replace("{src}", "documents") + """
 SELECT doc_id, n_lines, n_kept, sha256(text) AS text_sha256 FROM cleaned"""
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_mixing": op3_mixing, "op4_exact_dedup": op4_exact_dedup, "op6_pii": op6_pii, "op7_minhash": op7_minhash, "op9_secrets": op9_secrets, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_mixing": op3_mixing, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op6_pii": op6_pii, "op7_minhash": op7_minhash, "op9_secrets": op9_secrets, "op10_decontamination": op10_decontamination}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_pii": OP6_SQL, "op9_secrets": OP9_SQL, "op10_decontamination": OP10_SQL}
