@@ -15,7 +15,10 @@ reach.  Equal sets are folded into one representative first.
 
 Links are confirmed on the full sets, natively: first the best centre of each
 document; then, of the pairs that these links do not already connect, the
-rest.  Components are the classes.
+rest.  Components are the classes.  A bucket whose members still lie in
+several components draws new centres from its largest one for the others: a
+document on the edge of a large class needs the few members that it is close
+to.
 
 At a similarity of 0.8 a band of 4 is shared with probability 0.41 and all 32
 are missed with 5e-8.
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -39,6 +42,8 @@ ROWS = 4
 BANDS = BINS // ROWS
 SHINGLE = 5
 SIMILAR = 80  # of 100
+#: Centres drawn for a bucket, and met by a document, turn by turn.
+DRAWS = ((2, 16), (8, 64), (8, 64))
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -129,27 +134,75 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(work, schema)
 
 
-def _star_pairs(nodes: DataFrame, rows: int) -> DataFrame:
-    """(a, b, na, nb, shared): pairs of a bucket's centre and its members, that
-    sizes do not rule out, with the number of buckets that pair them."""
-    half = F.expr("transform(sequence(0, size(bands) div 2 - 1), i -> xxhash64(bands[2 * i], bands[2 * i + 1]))")
-    keys = nodes.where("n > 0").select("_id", "n", F.explode(F.concat("bands", half)).alias("key"))
-    centres = keys.groupBy("key").agg(
-        F.min(F.struct(F.xxhash64("_id", "key").alias("draw"), F.col("_id").alias("c"), F.col("n").alias("nc"))).alias("m"), F.max("_id").alias("hi"), F.min("_id").alias("lo")
-    )
-    centres = centres.where("hi <> lo").select("key", "m.c", "m.nc")
-    pairs = keys.join(centres, "key").where("_id <> c").where(F.lit(100) * F.least("n", "nc") >= F.lit(SIMILAR) * F.greatest("n", "nc"))
-    pairs = pairs.groupBy(F.least("_id", "c").alias("a"), F.greatest("_id", "c").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    return pairs
+_HALF = "transform(sequence(0, size(bands) div 2 - 1), i -> xxhash64(bands[2 * i], bands[2 * i + 1]))"
+
+
+def _keys(nodes: DataFrame, buckets: Column, *also: str) -> DataFrame:
+    return nodes.select("_id", *also, F.explode(buckets).alias("key"))
+
+
+def _draw(i: int) -> Column:
+    """What an identifier is xor-ed with to draw a centre: the least of the
+    results names its identifier again, so a draw is a minimum of one long."""
+    return F.xxhash64("key", F.lit(i))
+
+
+def _star_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b, shared): pairs of a bucket's centre and its members, with the
+    number of buckets that pair them.  One bucket a band."""
+    keys = _keys(nodes, F.col("bands"))
+    drawn = F.col("_id").bitwiseXOR(_draw(-1))
+    centres = keys.groupBy("key").agg(F.min(drawn).alias("lo"), F.max(drawn).alias("hi")).where("hi <> lo")
+    centres = centres.select("key", F.col("lo").bitwiseXOR(_draw(-1)).alias("c"))
+    pairs = keys.join(centres, "key").where("_id <> c")
+    return pairs.groupBy(F.least("_id", "c").alias("a"), F.greatest("_id", "c").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+
+
+def _drawn_pairs(nodes: DataFrame, turn: int) -> DataFrame:
+    """(a, b): members outside of the largest component of their bucket, each
+    with centres drawn from it.  ``nodes`` have a ``root``; buckets are the
+    bands and the pairs of bands."""
+    keys = _keys(nodes, F.concat("bands", F.expr(_HALF)), "root")
+    per_bucket, met = DRAWS[turn]
+    draws = range(turn * 8, turn * 8 + per_bucket)
+    parts = keys.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"), *[F.min(F.col("_id").bitwiseXOR(_draw(i))).alias(f"d{i}") for i in draws])
+    part = F.struct("k", "root", F.array(*[F.col(f"d{i}").bitwiseXOR(_draw(i)) for i in draws]).alias("cs"))
+    mixed = parts.select("key", "root", part.alias("p")).groupBy("key").agg(F.max("p").alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    mixed = mixed.select("key", F.col("p.root").alias("big"), F.col("p.cs").alias("cs"))
+    found = keys.join(mixed, "key").where("root <> big").select("_id", F.explode(F.array_distinct("cs")).alias("c")).distinct()
+    some = Window.partitionBy("_id").orderBy(F.xxhash64("_id", "c", F.lit(turn)))  # at most a draw a bucket
+    found = found.withColumn("_k", F.row_number().over(some)).where(F.col("_k") <= met)
+    return found.select(F.least("_id", "c").alias("a"), F.greatest("_id", "c").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("_id").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("_id").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return joined.withColumn("_in", both).where(F.lit(100) * F.col("_in") >= F.lit(similar) * (F.size("sa") + F.size("sb") - F.col("_in"))).select("a", "b")
+    """The pairs (a, b) whose full sets are similar enough; pairs whose sizes
+    rule that out never meet their sets."""
+    sizes = sets.select("_id", "n")
+    pairs = pairs.select("a", "b").join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    pairs = pairs.where(F.lit(100) * F.least("na", "nb") >= F.lit(similar) * F.greatest("na", "nb")).select("a", "b", (F.col("na") + F.col("nb")).alias("both"))
+    sides = [sets.select(F.col("_id").alias(x), F.col("s").alias(f"s{x}")) for x in ("a", "b")]
+    joined = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("_in", F.size(F.array_intersect("sa", "sb")))
+    return joined.where(F.lit(100) * F.col("_in") >= F.lit(similar) * (F.col("both") - F.col("_in"))).select("a", "b")
+
+
+def _rooted(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the roots ra and rb."""
+    for side in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("_id").alias(side), F.col("root").alias(f"r{side}")), side)
+    return pairs.where("ra <> rb")
+
+
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the known components do not connect."""
+    return _rooted(pairs.select("a", "b"), known).select("a", "b")
+
+
+def _joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """(_id, root) after more links: components of components."""
+    merged = components(_rooted(links, known).select("ra", "rb"), "ra", "rb")
+    known = known.join(merged.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left")
+    return settle(known.select("_id", F.coalesce("_to", "root").alias("root")), "roots")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
@@ -165,24 +218,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = settle(signatures(base, size), "signatures")
     nodes = signed.where("n > 0 and _id is not null").groupBy("f1", "f2", "n").agg(F.min("_id").alias("_id"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
     nodes = settle(nodes, "nodes")
-    pairs = settle(_star_pairs(nodes, ROWS), "pairs")
-    wanted = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    sets = settle(full_sets(base.join(wanted, "_id"), size).dropDuplicates(["_id"]), "sets")
+    stars = settle(_star_pairs(nodes), "stars")
+    wanted = settle(stars.select(F.col("a").alias("_id")).unionByName(stars.select(F.col("b").alias("_id"))).distinct(), "wanted")
+    # As many texts as have a partner: this join is sorted and merged at any size.
+    sets = full_sets(base.join(wanted.hint("merge"), "_id"), size).dropDuplicates(["_id"])
+    sets = settle(sets.withColumn("n", F.size("s").cast("long")), "sets")
 
     best = F.max(F.struct("shared", F.negate("a").alias("o"), F.col("a").alias("a")))
-    first = pairs.groupBy("b").agg(best.alias("m")).select("m.a", "b")
-    links = settle(_confirmed(first, sets, similar), "confirmed")
-    known = components(links, "a", "b")
-    rest = pairs.join(first, ["a", "b"], "left_anti")
-    for side in ("a", "b"):
-        rest = rest.join(known.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
-    rest = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    more = settle(_confirmed(rest, sets, similar), "confirmed")
-    if not more.isEmpty():
-        known = components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b")
+    first = stars.groupBy("b").agg(best.alias("m")).select("m.a", "b")
+    close = settle(nodes.join(wanted, "_id").select("_id", "bands"), "close")
+    known = close.select("_id", F.col("_id").alias("root"))
+    known = _joined(known, settle(_confirmed(first, sets, similar), "confirmed"))
+    known = _joined(known, settle(_confirmed(_apart(stars, known), sets, similar), "confirmed"))
+    for turn in range(len(DRAWS)):
+        drawn = _drawn_pairs(close.join(known, "_id"), turn)
+        known = _joined(known, settle(_confirmed(drawn, sets, similar), "confirmed"))
 
     folded = nodes.where("rows > 1").select("f1", "f2", "n", F.col("_id").alias("_rep"))
     out = signed.drop("bands").join(folded, ["f1", "f2", "n"], "left").withColumn("_node", F.coalesce("_rep", "_id"))
-    out = out.join(known.select(F.col("node").alias("_node"), "root"), "_node", "left")
+    out = out.join(known.withColumnRenamed("_id", "_node"), "_node", "left")
     component = F.when(F.col("_id").isNotNull() & (F.col("n") > 0), F.coalesce("root", "_node")).otherwise(F.col("_id"))
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("_id")).alias("kept"))
