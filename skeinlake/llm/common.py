@@ -43,5 +43,20 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_by(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """``settle``, laid out by the hash of ``key`` without a shuffle, so that a
+    join on it moves the other side only.  For a few large rows a task: each
+    task writes one file a bucket that it has rows of.
+    """
+    spark = df.sparkSession
+    name = f"skeinlake_{tag}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/skeinlake/{name}").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved: the files stay, the name need not
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

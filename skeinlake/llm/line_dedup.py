@@ -14,9 +14,8 @@ changes one word, wherever it is, and a line has as many variants as words.
 * Lines without any near partner need no variants: one edit leaves either the
   first or the last half of a line as it was, so only lines that share a half
   with another are candidates.  Nothing is lost by that.
-* Candidates' texts come from a second scan, which a bitmap of ``1 << BITS``
-  slots thins out before the shuffle; the bitmap has 16 MB at most whatever
-  the input, and the exact join follows, so it changes no result.
+* Candidates' texts come from a second scan, which a bitmap of bounded
+  size thins out before the shuffle; the exact join follows.
 * Pairs (each line with the earliest that shares its variant, never all pairs)
   are verified word by word.
 
@@ -30,10 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, settle, text_or_empty
+from .reduce import bitmap, thinned
 
 WORDS = 8
-BITS = 27
-_PAGE = 32_768  # bits of one bitmap row
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -43,7 +41,12 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, SPACE, " "))
+    """One space for each run of white space, none at the ends.  Most lines
+    have single spaces only, which a byte search tells faster than a pattern."""
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.trim(F.when(odd, F.regexp_replace(line, SPACE, " ")).otherwise(line))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -65,34 +68,19 @@ def _half_keys(line: Column, n: Column) -> Column:
     return F.when(n == 2 * h, F.array(*keys(h), *keys((h / 2).cast("int")))).otherwise(F.array(*keys(h)))
 
 
-def _bitmap(found: DataFrame) -> DataFrame:
-    """Bitmap rows (_page, _bits) of the slots of keys; at most 2 ** BITS bits in all."""
-    slot = F.pmod(F.col("k1"), F.lit(1 << BITS))
-    pages = found.select(F.expr(f"CAST(pmod(k1, {1 << BITS}) div {_PAGE} AS INT)").alias("_page"), (slot % _PAGE).alias("_bit"))
-    return pages.groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-
-
-def _thinned(lines: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """The lines whose slot is set."""
-    lines = lines.withColumn("_page", F.expr(f"CAST(pmod(k1, {1 << BITS}) div {_PAGE} AS INT)")).join(F.broadcast(bitmap), "_page")
-    byte = F.expr(f"conv(hex(substring(_bits, CAST(pmod(k1, {_PAGE}) div 8 AS INT) + 1, 1)), 16, 10)").cast("int")
-    bit = F.expr("CAST(pmod(k1, 8) AS INT)")
-    return lines.where(F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1).drop("_page", "_bits")
-
-
 def _variants(texts: DataFrame) -> DataFrame:
-    """(k1, k2, pos, v, len, p): each line's own key (p = -1) and those of its
+    """(k1, k2, v, len, p): each line's own key (p = -1) and those of its
     variants without word p.  Keys xor the hashes of neighbouring words."""
     ends = F.concat(F.array(F.lit("")), F.col("w"), F.array(F.lit("")))
-    t = texts.select("k1", "k2", "pos", F.size("w").alias("n"), ends.alias("e"))
+    t = texts.select("k1", "k2", F.size("w").alias("n"), ends.alias("e"))
     t = t.withColumn("m", F.transform(F.slice("e", F.lit(1), F.col("n") + 1), lambda x, i: F.xxhash64(x, F.col("e")[i + 1])))
     t = t.withColumn("all", F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)))
     without = F.transform(
         F.slice("m", F.lit(1), F.col("n")), lambda x, i: F.struct(F.col("all").bitwiseXOR(x).bitwiseXOR(F.col("m")[i + 1]).bitwiseXOR(F.xxhash64(F.col("e")[i], F.col("e")[i + 2])).alias("v"), i.alias("p"))
     )
     own = F.array(F.struct(F.col("all").alias("v"), F.lit(-1).alias("p")))
-    t = t.select("k1", "k2", "pos", "n", F.explode(F.concat(own, without)).alias("x"))
-    return t.select("k1", "k2", "pos", F.col("x.v").alias("v"), F.when(F.col("x.p") < 0, F.col("n")).otherwise(F.col("n") - 1).alias("len"), F.col("x.p").alias("p"))
+    t = t.select("k1", "k2", "n", F.explode(F.concat(own, without)).alias("x"))
+    return t.select("k1", "k2", F.col("x.v").alias("v"), F.when(F.col("x.p") < 0, F.col("n")).otherwise(F.col("n") - 1).alias("len"), F.col("x.p").alias("p"))
 
 
 def _near(firsts: DataFrame, lines: DataFrame) -> DataFrame:
@@ -100,13 +88,14 @@ def _near(firsts: DataFrame, lines: DataFrame) -> DataFrame:
     keyed = firsts.where(f"n >= {WORDS}").select("k1", "k2", "pos", F.explode("halves").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("key")
     found = settle(keyed.join(shared, "key").select("k1", "k2", "pos").distinct(), "candidates")
-    lines = _thinned(lines.select("_d", "_r", "_no", "line", "k1", "k2"), _bitmap(found))
+    lines = thinned(lines.select("_d", "_r", "_no", "line", "k1", "k2"), bitmap(found, F.col("k1")), F.col("k1"))
     lines = lines.select("k1", "k2", F.struct("_d", "_r", "_no").alias("pos"), F.split("line", " ").alias("w"))
     texts = settle(lines.join(found, ["k1", "k2", "pos"]).dropDuplicates(["k1", "k2"]), "candidate-lines")
 
     rows = _variants(texts)
     met = rows.groupBy("v", "len").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("v", "len")
-    rows = settle(rows.join(met, ["v", "len"]), "variants")
+    rows = rows.join(met, ["v", "len"]).join(texts.select("k1", "k2", "pos"), ["k1", "k2"])
+    rows = settle(rows, "variants")
     least = rows.groupBy("v", "len", "p").agg(F.min(F.struct("pos", "k1", "k2")).alias("c"))
     members = rows.join(least, ["v", "len", "p"]).where("p >= 0 and pos > c.pos")
     replaced = members.select("k1", "k2", F.col("c.k1").alias("c1"), F.col("c.k2").alias("c2"), F.lit(-1).alias("p"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle
+from .common import settle, settle_by
 from .reduce import bitmap, thinned
 
 BLOCK = 16 << 20
@@ -181,7 +181,7 @@ def _packed(docs: DataFrame, text_at: int) -> DataFrame:
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``symbols`` (bigint) and ``bits`` (double, a symbol; null without symbols)."""
     at = docs.columns.index(text_col)
-    blocks = settle(_packed(docs, at), "blocks")
+    blocks = settle_by(_packed(docs, at), "block", "blocks")
     asks = blocks.select("block", F.explode("asks").alias("g"))
     answers = model.bits(asks.select("g").distinct())
     answers = asks.join(answers, "g").groupBy("block").agg(F.collect_list(F.struct("g", "bits")).alias("answers"))
@@ -221,14 +221,20 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Repeated labels count once.  Other columns pass through.
     """
     ids = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("_l")).where("_l is not null").distinct()
-    key = F.xxhash64(F.col(id_col))
-    trusted = thinned(docs.select(id_col, text_col, lang_col), bitmap(ids, F.xxhash64("_l")), key)
-    trusted = trusted.join(ids, F.col(id_col) == F.col("_l")).drop("_l")
-    held_out = F.crc32(F.col(id_col).cast("string")) % HELD_OUT == 0
-    trusted = settle(trusted.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out.alias("held")), "trusted")
-    model = Model(count_grams(trusted.where("not held").select("text")))
-
-    seen = score(trusted.where("held").select("text", "lang"), model).where("bits is not null").groupBy("lang", F.floor(F.col("bits") * 100).alias("bin")).count()
+    slots = bitmap(ids, F.xxhash64("_l"))
+
+    def trusted(held: bool) -> DataFrame:
+        """Trusted texts on one side of the split; only these are shuffled."""
+
+        def side(c: str) -> Column:
+            return (F.crc32(F.col(c).cast("string")) % HELD_OUT == 0) == F.lit(held)
+
+        some = thinned(docs.select(id_col, text_col, lang_col).where(side(id_col)), slots, F.xxhash64(id_col))
+        some = some.join(ids.where(side("_l")).hint("merge"), F.col(id_col) == F.col("_l"))
+        return some.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+
+    model = Model(count_grams(trusted(False).select("text")))
+    seen = score(trusted(True), model).where("bits is not null").groupBy("lang", F.floor(F.col("bits") * 100).alias("bin")).count()
     upto = Window.partitionBy("lang").orderBy("bin")
     seen = seen.withColumn("_upto", F.sum("count").over(upto)).withColumn("_all", F.sum("count").over(Window.partitionBy("lang")))
     limits = seen.where(F.col("_upto") >= F.lit(quantile) * F.col("_all")).groupBy("lang").agg(F.min("bin").alias("bin"), F.max("_all").alias("rows"))
