@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
 from .common import table
 from .decontaminate import COVERAGE, scan_benchmark
 from .exact_dedup import exact_dedup
+from .licenses import NOTICES, SIMILAR, scan_licenses
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
@@ -155,5 +157,44 @@ cleaned AS (
 OP1_SQL = "WITH " + LINES_SQL.replace("{src}", "documents") + """
 SELECT doc_id, n_lines, n_kept, sha256(text) AS text_sha256 FROM cleaned"""
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_mixing": op3_mixing, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op6_pii": op6_pii, "op7_minhash": op7_minhash, "op9_secrets": op9_secrets, "op10_decontamination": op10_decontamination}
-ORACLES = {"op1_line_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_pii": OP6_SQL, "op9_secrets": OP9_SQL, "op10_decontamination": OP10_SQL}
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % toxicity.FOLDS == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"),
+        F.array_join(F.transform(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["template"].cast("int")))), lambda t: t.cast("string")), ",").alias("templates"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["found"] / m["shingles"])), F.lit(0.0)).alias("containment"),
+    )
+
+
+def _licenses_sql() -> str:
+    """Every window that starts at a match, for every template."""
+    rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(NOTICES))
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH t AS (SELECT t, license, {words.format(lower.format("x"))} AS w FROM (VALUES {rows}) AS v(t, license, x)),
+z AS (SELECT t, license, w, least(5, len(w)) AS z, len(w) - least(5, len(w)) + 1 AS n FROM t),
+ts AS (SELECT DISTINCT t, z, n + n // 4 AS width, array_to_string(w[i:i + z - 1], ' ') AS g FROM z, unnest(range(1, n + 1)) AS u(i)),
+need AS (SELECT t, count(*) AS n FROM ts GROUP BY t),
+d AS (SELECT doc_id, row_number() OVER () AS r, {words.format(lower.format("coalesce(text, '')"))} AS w FROM documents),
+ds AS (SELECT r, k.z, i, array_to_string(w[i:i + k.z - 1], ' ') AS g FROM d, (SELECT DISTINCT z FROM ts) k, unnest(range(1, len(w) - k.z + 2)) AS u(i)),
+m AS (SELECT r, t, i, ds.g, width FROM ds JOIN ts ON ds.z = ts.z AND ds.g = ts.g),
+c AS (SELECT a.r, a.t, a.i, count(DISTINCT b.g) AS found FROM m a JOIN m b ON a.r = b.r AND a.t = b.t AND b.i >= a.i AND b.i < a.i + a.width GROUP BY a.r, a.t, a.i),
+f AS (SELECT r, t, max(found / n) AS share FROM c JOIN need USING (t) WHERE 100 * found >= {SIMILAR} * n GROUP BY r, t),
+o AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, string_agg(CAST(t AS VARCHAR), ',' ORDER BY t) AS templates, max(share) AS share FROM f JOIN z USING (t) GROUP BY r)
+SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(templates, '') AS templates, coalesce(share, 0.0)::DOUBLE AS containment FROM d LEFT JOIN o USING (r)"""
+
+
+OP8_SQL = _licenses_sql()
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op4_exact_dedup": op4_exact_dedup, "op5_quality": op5_quality, "op6_pii": op6_pii, "op7_minhash": op7_minhash, "op8_licenses": op8_licenses, "op9_secrets": op9_secrets, "op10_decontamination": op10_decontamination}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_pii": OP6_SQL, "op8_licenses": OP8_SQL, "op9_secrets": OP9_SQL, "op10_decontamination": OP10_SQL}

@@ -25,15 +25,17 @@ from pyspark.sql import functions as F
 from .kernels import LOWER, byte_classes
 
 BITS = 19
-SIZES = (3, 4, 5)
+SIZES = (4, 5, 6)
 DIM = 8
-EPOCHS = 8
-#: n-grams of fewer training texts have no weight; embeddings shrink by DECAY a step.
+EPOCHS = 6
+#: n-grams of fewer training texts, or of a smaller share of them, have no weight.
 SEEN = 3
-DECAY = 0.0
+SEEN_SHARE = 0.01
+#: What an average of many small parts is multiplied by, so that steps fit its size.
+SCALE = 10.0
 BATCH = 64
 RATE = 0.3
-MAX_ROWS = 6_000
+MAX_ROWS = 8_000
 FOLDS = 5
 PIECE = 1 << 20
 
@@ -119,40 +121,40 @@ def train(texts: list[str], labels: np.ndarray, rate: float, bits: int = BITS, s
         return Model(np.zeros(1 << bits, np.float32), float(prior), bits)
     rng = np.random.default_rng(seed)
     rows = bags(texts, bits)
-    seen = np.bincount(np.concatenate([b for b, _ in rows]), minlength=1 << bits) >= SEEN
-    rows = [(b[seen[b]], v[seen[b]]) for b, v in rows]
-    emb = (rng.standard_normal((1 << bits, DIM)) * 0.05 * seen[:, None]).astype(np.float32)
+    count = np.bincount(np.concatenate([b for b, _ in rows]), minlength=1 << bits)
+    used = np.flatnonzero(count >= max(SEEN, SEEN_SHARE * len(rows)))
+    place = np.full(1 << bits, -1, np.int64)
+    place[used] = np.arange(len(used))
+    rows = [(place[b][place[b] >= 0], v[place[b] >= 0] * np.float32(SCALE)) for b, v in rows]
+    emb = (rng.standard_normal((len(used), DIM)) * 0.05).astype(np.float32)
     out = (rng.standard_normal((DIM, 2)) * 0.3).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    g_emb, g_out, g_bias = np.full((1 << bits, 1), 1e-10, np.float32), np.full(out.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
+    bias = np.array([0.0, np.log(share / (1 - share))], np.float32)
+    g_emb, g_out, g_bias = np.full((len(used), 1), 1e-10, np.float32), np.full(out.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
+    filled = [i for i, (b, _) in enumerate(rows) if len(b)]
     for epoch in range(EPOCHS):
         step = RATE * (1 - epoch / EPOCHS)
-        order = rng.permutation(len(rows))
+        order = rng.permutation(filled)
         for i in range(0, len(order), BATCH):
             pick = order[i : i + BATCH]
-            pick = [p for p in pick if len(rows[p][0])]
-            if not pick:
-                continue
             idx, val = np.concatenate([rows[p][0] for p in pick]), np.concatenate([rows[p][1] for p in pick])
-            cut = np.cumsum([0] + [len(rows[p][0]) for p in pick])
-            hidden = np.add.reduceat(emb[idx] * val[:, None], cut[:-1], axis=0)
+            sizes = np.array([len(rows[p][0]) for p in pick])
+            cut = np.concatenate([[0], np.cumsum(sizes[:-1])])
+            hidden = np.add.reduceat(emb[idx] * val[:, None], cut, axis=0)
             logits = hidden @ out + bias
             p1 = np.exp(logits - logits.max(1, keepdims=True))
             p1 /= p1.sum(1, keepdims=True)
             p1[np.arange(len(pick)), labels[pick]] -= 1
-            d_hidden = p1 @ out.T
-            grad = np.repeat(d_hidden, np.diff(cut), axis=0) * val[:, None]
-            u, back = np.unique(idx, return_inverse=True)
-            sums = np.zeros((len(u), DIM), np.float32)
-            np.add.at(sums, back, grad)
-            g_emb[u] += (sums**2).mean(1, keepdims=True)
-            emb[u] -= step * (sums / np.sqrt(g_emb[u]) + DECAY * emb[u])
+            grad = np.repeat(p1 @ out.T, sizes, axis=0) * val[:, None]
+            sums = np.stack([np.bincount(idx, grad[:, d], len(used)) for d in range(DIM)], 1).astype(np.float32)
+            g_emb += (sums**2).mean(1, keepdims=True)
+            emb -= step * sums / np.sqrt(g_emb)
             d_out, d_bias = hidden.T @ p1, p1.sum(0)
             g_out += d_out**2
             g_bias += d_bias**2
             out -= step * 0.3 * d_out / np.sqrt(g_out)
             bias -= step * 0.3 * d_bias / np.sqrt(g_bias)
-    weights = (emb @ (out[:, 1] - out[:, 0])).astype(np.float32)
+    weights = np.zeros(1 << bits, np.float32)
+    weights[used] = (emb @ (out[:, 1] - out[:, 0])) * SCALE
     return Model(weights, float(bias[1] - bias[0] + prior - np.log(share / (1 - share))), bits)
 
 
