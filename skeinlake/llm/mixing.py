@@ -55,9 +55,11 @@ def _source_key(c: Column) -> Column:
 
 
 def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED
-) -> DataFrame:
-    """(id, source, size, source_size, target, taken) for every row of ``docs``.
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """(id, source, size, source_size, target, taken) for every row of ``docs``,
+    and the columns named by ``carry``, which travel in one shuffle.
 
     ``size`` counts words, 0 for a null text.  ``taken`` is how many of a row's
     words the mix takes, repeats counted; they sum to the whole part of the
@@ -67,21 +69,25 @@ def mix_sources(
     both share a place, in any order.  Null sources are a source of their own.
     A source of empty texts, or an empty table, takes nothing.
     """
-    sized = docs.select(
-        F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size")
-    )
-    sized = sized.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit("")))))
-    sized = settle(sized.withColumn("_src", _source_key(F.col("source"))), "sizes")
+
+    def measured(*more: Column) -> DataFrame:
+        size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
+        rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *more)
+        rows = rows.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit("")))))
+        return rows.withColumn("_src", _source_key(F.col("source")))
+
+    sized = settle(measured(), "sizes")
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     sources = sources.select(_source_key(F.col("source")).alias("_src"), "source_size", "target", F.floor("target").alias("_budget"))
 
-    rows = sized.withColumn("_slice", F.substring("_key", 1, 3))
-    slices = rows.groupBy("_src", "_slice").agg(F.sum("size").alias("_sum"))
+    slices = sized.withColumn("_slice", F.substring("_key", 1, 3))
+    slices = slices.groupBy("_src", "_slice").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("_src").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select("_src", "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
     slices = slices.join(sources, "_src")
     inside = Window.partitionBy("_src", "_slice").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.repartitionByRange("_src", "_slice").withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = measured(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]) if carry else sized
+    rows = rows.withColumn("_slice", F.substring("_key", 1, 3)).repartitionByRange("_src", "_slice").withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(slices, ["_src", "_slice"])
     epochs = F.when(F.col("source_size") > 0, F.expr("_budget div source_size")).otherwise(F.lit(0))
     left = F.col("_budget") - F.col("_epochs") * F.col("source_size") - F.col("_base") - F.col("_in")
@@ -92,4 +98,5 @@ def mix_sources(
         "source_size",
         "target",
         (F.col("_epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))).cast("long").alias("taken"),
+        *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)],
     )
