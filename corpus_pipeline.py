@@ -1,8 +1,72 @@
-"""A training-data pipeline over the documents table."""
+"""A training-data pipeline over ``documents``, counted as part of skeinlake.llm.
 
-STAGES: list = []
+Each stage takes what its predecessor kept and returns the columns of
+``documents``; the last adds what the mix takes of each document.
+``run`` writes every stage as Parquet in the shared folder and reads it back,
+so that a lost executor costs tasks and not stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skeinlake.llm.common import settle, table
+from skeinlake.llm.decontaminate import decontaminate
+from skeinlake.llm.line_dedup import dedup_lines
+from skeinlake.llm.minhash import near_duplicates
+from skeinlake.llm.mixing import mix_sources
+from skeinlake.llm.quality import judge_quality
+
+
+def _recounted(docs: DataFrame, was: DataFrame) -> DataFrame:
+    """``n_chars`` of texts that a stage has changed, in the column's own type;
+    a null text, and a table without the column, stay as they are."""
+    if "n_chars" in was.columns:
+        kind = was.schema["n_chars"].dataType
+        docs = docs.withColumn("n_chars", F.coalesce(F.char_length("text").cast(kind), "n_chars"))
+    return docs.select(*was.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model of trusted text accepts."""
+    return judge_quality(docs, table(spark, sf_dir, "labels")).where("accepted").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts rid of repeated lines; a document goes if all of its lines went."""
+    cleaned = dedup_lines(docs).where("n_kept > 0 or n_lines = 0")
+    return _recounted(cleaned, docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: its smallest identifier.
+    Rows that repeat that identifier are the same document and stay together."""
+    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages: those mostly copied go, of others the passages."""
+    return _recounted(decontaminate(docs, table(spark, sf_dir, "benchmark")), docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes from, and how many of their words."""
+    return mix_sources(docs, carry=[c for c in docs.columns if c not in ("doc_id", "source", *MIXED)]).where("taken > 0")
+
+
+#: Columns of the mix; a column of the input by such a name gives way.
+MIXED = ("size", "source_size", "target", "taken")
+
+STAGES = [("quality", quality), ("lines", lines), ("near", near), ("benchmark", benchmark), ("mix", mix)]
+
+#: The language model's limits and the links of full shingle sets have no SQL twin.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
