@@ -35,7 +35,7 @@ SEEN_SHARE = 0.01
 SCALE = 10.0
 BATCH = 64
 RATE = 0.3
-MAX_ROWS = 8_000
+MAX_ROWS = 6_000
 FOLDS = 5
 PIECE = 1 << 20
 
@@ -79,17 +79,16 @@ def _pieces(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         at = end
 
 
-def bags(texts: list[str], bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
+def bags(texts: list[str], bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(buckets, shares) of each text; shares sum to 1."""
-    fold, out = _folded(), []
+    fold = _folded()
     for first, end, data, starts in _pieces(texts):
         parts = list(subwords(data, fold, bits))
         cuts = [np.searchsorted(at, starts) for at, _ in parts]
         for i in range(end - first):
             found = np.concatenate([b[c[i] : c[i + 1]] for (_, b), c in zip(parts, cuts, strict=True)]) if parts else np.zeros(0, np.int64)
             u, n = np.unique(found, return_counts=True)
-            out.append((u, (n / max(len(found), 1)).astype(np.float32)))
-    return out
+            yield u, (n / max(len(found), 1)).astype(np.float32)
 
 
 class Model:
@@ -120,12 +119,13 @@ def train(texts: list[str], labels: np.ndarray, rate: float, bits: int = BITS, s
     if not 0 < share < 1:
         return Model(np.zeros(1 << bits, np.float32), float(prior), bits)
     rng = np.random.default_rng(seed)
-    rows = bags(texts, bits)
-    count = np.bincount(np.concatenate([b for b, _ in rows]), minlength=1 << bits)
-    used = np.flatnonzero(count >= max(SEEN, SEEN_SHARE * len(rows)))
-    place = np.full(1 << bits, -1, np.int64)
+    count = np.zeros(1 << bits, np.int32)
+    for b, _ in bags(texts, bits):  # twice over the texts: most n-grams are rare, and only the others are held
+        count[b] += 1
+    used = np.flatnonzero(count >= max(SEEN, SEEN_SHARE * len(texts)))
+    place = np.full(1 << bits, -1, np.int32)
     place[used] = np.arange(len(used))
-    rows = [(place[b][place[b] >= 0], v[place[b] >= 0] * np.float32(SCALE)) for b, v in rows]
+    rows = [(place[b][place[b] >= 0], v[place[b] >= 0] * np.float32(SCALE)) for b, v in bags(texts, bits)]
     emb = (rng.standard_normal((len(used), DIM)) * 0.05).astype(np.float32)
     out = (rng.standard_normal((DIM, 2)) * 0.3).astype(np.float32)
     bias = np.array([0.0, np.log(share / (1 - share))], np.float32)
