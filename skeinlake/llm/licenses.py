@@ -100,6 +100,7 @@ class Library:
                 found = self.windows.setdefault((min(size, len(w)), n + n // 4), {})
                 for band in self.bands(s[None, :], np.ones((1, len(s)), bool))[0].tolist():
                     found.setdefault(band, []).append(t)
+        self.tables = {k: np.array(sorted(found), np.uint64) for k, found in self.windows.items()}
         self.known = {z: np.unique(np.concatenate([s for s, w in zip(self.sets, words, strict=True) if min(size, len(w)) == z and len(w)])) for z, _ in self.windows}
 
     def bands(self, s: np.ndarray, valid: np.ndarray) -> np.ndarray:
@@ -113,6 +114,20 @@ class Library:
             out[:, b] = band
         return out
 
+    def rows(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Which of consecutive texts (by their first words) may have a match."""
+        may = np.diff(first) > 0
+        if all(z == self.size for z in self.known):  # whole shingles only: one look-up for all texts
+            found = np.zeros(len(h) + 1, np.int64)
+            for z, known in self.known.items():
+                if len(h) >= z:
+                    s = shingles(h, z)
+                    hit = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
+                    found[1 : len(s) + 1] += hit
+            upto = np.cumsum(found)
+            may &= upto[first[1:]] > upto[first[:-1]]
+        return may
+
     def search(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(template, first word, end word, shingles found) in the words of one text: of windows that
         match a template and overlap, the best (the first of equals), cut to its matches."""
@@ -126,7 +141,9 @@ class Library:
                 at = np.minimum(np.searchsorted(self.known[z], s), len(self.known[z]) - 1)
                 cache[z] = s, np.flatnonzero(self.known[z][at] == s)
             s, starts = cache[z]
-            table = np.array(sorted(templates), np.uint64)
+            if not len(starts):
+                continue
+            table = self.tables[z, width]
             step = max(1, _CELLS // width)
             for i in range(0, len(starts), step):
                 some = starts[i : i + step]
@@ -199,8 +216,8 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, id_col: s
                 part, rel = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 starts, ends, first = word_spans(part, rel, is_word)
                 h = word_hashes(part, starts, ends, powers, values)
-                for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    hits = library.search(h[i:j]) if j > i else []
+                for i, j, may in zip(first[:-1].tolist(), first[1:].tolist(), library.rows(h, first).tolist(), strict=True):
+                    hits = library.search(h[i:j]) if may else []
                     found.append([{"template": names[t][0], "license": names[t][1], "first_word": p, "end_word": q, "found": n, "shingles": len(library.sets[t])} for t, p, q, n in hits])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(item))], ["_id", "matches"])
 
