@@ -12,7 +12,7 @@ similarity of at least c / (2.25 - c), 0.55 at c = 0.8, and shares one of 24
 bands of 2 with a probability of 0.9998; a whole copy is missed with 2e-11.
 
 A band collides only where its minima are shingles of a template, so windows
-need to start only at positions whose shingle some template has: any window
+need to start only at positions whose shingle a template of that size has: any window
 with matches can be moved to start at its first match without losing one.  One
 scan finds these positions, vectorised; only they are hashed into bands.
 
@@ -38,7 +38,7 @@ SIMILAR = 80  # of 100
 BANDS = 24
 ROWS = 2
 MAX_WORDS = 1_000_000
-_CELLS = 1 << 20  # shingles hashed at a time
+_CELLS = 1 << 20  # hashes made at a time
 
 #: Names and wordings of common license notices.
 NOTICES = (
@@ -101,17 +101,17 @@ class Library:
                 for band in self.bands(s[None, :], np.ones((1, len(s)), bool))[0].tolist():
                     found.setdefault(band, []).append(t)
         self.tables = {k: np.array(sorted(found), np.uint64) for k, found in self.windows.items()}
+        #: shingles of the templates of a window size: where its windows can start
+        self.firsts = {k: np.unique(np.concatenate([self.sets[t] for t in {t for ts in found.values() for t in ts}])) for k, found in self.windows.items()}
         self.known = {z: np.unique(np.concatenate([s for s, w in zip(self.sets, words, strict=True) if min(size, len(w)) == z and len(w)])) for z, _ in self.windows}
 
     def bands(self, s: np.ndarray, valid: np.ndarray) -> np.ndarray:
         """Band hashes of rows of shingles."""
-        out = np.empty((len(s), BANDS), np.uint64)
-        for b in range(BANDS):
-            band = np.full(len(s), b + 1, np.uint64)
-            for r in range(ROWS):
-                low = np.where(valid, _mix(s ^ self.salts[b * ROWS + r]), np.uint64(0xFFFFFFFFFFFFFFFF)).min(1)
-                band = chain(band, low)
-            out[:, b] = band
+        mixed = _mix(s[:, :, None] ^ self.salts)
+        low = np.where(valid[:, :, None], mixed, np.uint64(0xFFFFFFFFFFFFFFFF)).min(1).reshape(len(s), BANDS, ROWS)
+        out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(s), BANDS))
+        for r in range(ROWS):
+            out = chain(out, low[:, :, r])
         return out
 
     def rows(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -132,7 +132,7 @@ class Library:
         """(template, first word, end word, shingles found) in the words of one text: of windows that
         match a template and overlap, the best (the first of equals), cut to its matches."""
         hits: dict[int, list[tuple[int, int, int]]] = {}
-        cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # shingle size -> shingles, places of known ones
         for (z, width), templates in self.windows.items():
             if len(h) < z:
                 continue
@@ -140,11 +140,12 @@ class Library:
                 s = shingles(h, z) if z < self.size else shingles(h, self.size)
                 at = np.minimum(np.searchsorted(self.known[z], s), len(self.known[z]) - 1)
                 cache[z] = s, np.flatnonzero(self.known[z][at] == s)
-            s, starts = cache[z]
+            s, known = cache[z]
+            starts = known[np.isin(s[known], self.firsts[z, width])]
             if not len(starts):
                 continue
             table = self.tables[z, width]
-            step = max(1, _CELLS // width)
+            step = max(1, _CELLS // (width * BANDS * ROWS))
             for i in range(0, len(starts), step):
                 some = starts[i : i + step]
                 where = some[:, None] + np.arange(width)
