@@ -20,10 +20,22 @@ SCHEMA = Schema((Attr("description", "text"), Attr("category", "tag")))
 
 class Service:
     """Rows have a description and a category; an empty category means any.
-    Unset text is stored as an empty string, as on the wire."""
+    Unset text is stored as an empty string, as on the wire.
+
+    Vectors are compared with the live rows, so answers are exact at once after
+    a write; texts are searched through an index that is written for a state of
+    the table and read until the next write.
+    """
 
     def __init__(self, spark: SparkSession, path: str, dim: int = 128, metric: str = "l2") -> None:
         self.store = Store(spark, path, Config(dim, metric, schema=SCHEMA))
+        self._text: tuple[int, bm25.Index] | None = None
+
+    def _text_index(self) -> bm25.Index:
+        """Written once for a state of the table, and read until the next write."""
+        if self._text is None or self._text[0] != self.store.lsn:
+            self._text = self.store.lsn, bm25.Index.cached(self.store.current(), f"{self.store.path}/text/{self.store.lsn:020d}", "description")
+        return self._text[1]
 
     def _rows(self, category: str) -> tuple[DataFrame, Any]:
         return self.store.current(), Eq("category", category) if category else None
@@ -32,6 +44,13 @@ class Service:
         order = F.asc("dist") if "dist" in hits.columns else F.desc("score")
         return [r.asDict() for r in enrich(hits, self.store.current(), *[a.name for a in SCHEMA.attrs], "payload").orderBy(order, "id").collect()]
 
+    def run(self, line: str) -> list[dict[str, Any]]:
+        """Answer a query line: by words, by vector, or by both."""
+        q = parse(line)
+        if q.vec and q.text:
+            return self.search_hybrid(q.vec, q.text, q.k, q.category)
+        return self.search_vector(q.vec, q.k, q.category) if q.vec else self.search_text(q.text, q.k, q.category)
+
     def insert(self, vec: list[float], description: str = "", category: str = "", payload: bytes = b"") -> int:
         return self.store.insert(vec, [description, category], payload)
 
@@ -45,12 +64,12 @@ class Service:
 
     def search_text(self, query: str, k: int, category: str = "") -> list[dict[str, Any]]:
         rows, pred = self._rows(category)
-        return self._out(bm25.search_attr(rows, "description", SCHEMA, query, k, pred))
+        return self._out(bm25.search_attr(rows, "description", SCHEMA, query, k, pred, self._text_index()))
 
     def search_hybrid(self, vec: list[float], query: str, k: int, category: str = "", depth: int = 0, rrf_k: int = 60) -> list[dict[str, Any]]:
         rows, pred = self._rows(category)
-        vec, index = self.store.config.check(vec), bm25.Index.build(rows, "description")
-        return self._out(search_hybrid(rows, index, vec, query, k, pred, SCHEMA, self.store.config.metric, depth, rrf_k))
+        vec = self.store.config.check(vec)
+        return self._out(search_hybrid(rows, self._text_index(), vec, query, k, pred, SCHEMA, self.store.config.metric, depth, rrf_k))
 
     def get_metadata(self, row_id: int) -> dict[str, Any] | None:
         row = self.store.get(row_id)

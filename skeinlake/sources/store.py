@@ -1,10 +1,17 @@
 """Operation log, snapshots and current state (M1-M18, SC12-SC20, A1, A11, J12).
 
-The log is append-only parquet: lsn, op, id, vec, attributes, payload, has_vec
-and has_meta.  The current state folds the last vector and the last attributes
-of each id that was not deleted; a snapshot is that state at an lsn, and
-recovery folds the snapshot with the log's tail.  One writer appends; a commit
-is the durability point, and a manifest names the snapshot that counts.
+The log is append-only parquet, a folder a commit: lsn, op, id, vec,
+attributes, payload, has_vec and has_meta.  The current state folds the last
+vector and the last attributes of each id that was not deleted; a snapshot is
+that state at an lsn, and recovery folds the snapshot with the log's tail.
+
+* One writer at a time: a commit claims its first lsn by creating a file that
+  must not exist, so a second writer fails instead of using an lsn twice.
+* A commit counts once its folder is complete.  On opening, a last commit that
+  was cut short is dropped; one before it, or a gap, is corruption and raises.
+* Manifests are numbered, and the newest that can be read counts: there is no
+  moment without one.  A checkpoint writes the state, then the manifest, then
+  removes the commits that the state covers and what older manifests name.
 """
 
 from __future__ import annotations
@@ -12,7 +19,8 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,51 +69,138 @@ def attr_counts(rows: DataFrame, attr: str) -> DataFrame:
 
 
 class Store:
-    """A keyed table on a folder that Spark reaches."""
+    """A keyed table on a folder that Spark reaches.
 
-    def __init__(self, spark: SparkSession, path: str, config: Config) -> None:
-        self.spark, self.path, self.config = spark, path.rstrip("/"), config
+    ``checkpoint_every`` operations after the last snapshot the next is taken
+    by itself; without, only on demand.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, config: Config, checkpoint_every: int | None = None) -> None:
+        self.spark, self.path, self.config, self.every = spark, path.rstrip("/"), config, checkpoint_every
         self.attrs = [a.name for a in config.schema.attrs]
-        self._fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._fs_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._to(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.reserved: set[int] = set()
         self.manifest = self._load()
-        at = self.spark.read.schema(log_schema(config)).parquet(f"{self.path}/log") if self._fs.exists(self._fs_path(f"{self.path}/log")) else None
-        last = at.agg(F.max("lsn"), F.max(F.when(F.col("op") == "insert", F.col("id")))).first() if at is not None else (None, None)
-        self.lsn = max(last[0] or 0, self.manifest["lsn"])
-        self.next_id = max((last[1] if last[1] is not None else -1) + 1, self.manifest["next_id"])
+        self.commits = self._recover()
+        self.lsn = max([c["last"] for c in self.commits] + [self.manifest["lsn"]])
+        self.next_id = max([c["next_id"] for c in self.commits] + [self.manifest["next_id"]])
+
+    # -- files --------------------------------------------------------------
+
+    def _names(self, folder: str) -> list[str]:
+        where = self._to(f"{self.path}/{folder}")
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(where)) if self._fs.exists(where) else []
+
+    def _exists(self, name: str) -> bool:
+        return self._fs.exists(self._to(f"{self.path}/{name}"))
+
+    def _remove(self, name: str) -> None:
+        self._fs.delete(self._to(f"{self.path}/{name}"), True)
+
+    def _create(self, name: str, facts: dict[str, Any]) -> None:
+        """Exclusive: a file by that name is another writer's."""
+        try:
+            out = self._fs.create(self._to(f"{self.path}/{name}"), False)
+        except Py4JJavaError as error:
+            raise RuntimeError(f"{self.path}: {name} is taken by another writer") from error
+        out.write(json.dumps(facts).encode())
+        out.close()
+
+    def _facts_in(self, name: str) -> dict[str, Any] | None:
+        try:
+            return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.path}/{name}").collect()))
+        except ValueError:  # cut short
+            return None
 
-    # -- manifest -----------------------------------------------------------
+    # -- manifest and recovery ----------------------------------------------
 
     def _facts(self) -> dict[str, Any]:
         c = self.config
         return {"dim": c.dim, "metric": c.metric, "kind": c.kind, "fingerprint": c.schema.fingerprint()}
 
     def _load(self) -> dict[str, Any]:
-        where = self._fs_path(f"{self.path}/manifest.json")
-        if not self._fs.exists(where):
-            return {**self._facts(), "snapshot": None, "lsn": 0, "next_id": 0, "tombstones": 0}
-        found = json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.path}/manifest.json").collect()))
-        for k, v in self._facts().items():
-            if found[k] != v:
-                raise ValueError(f"the table has {k} {found[k]!r}, not {v!r}")
-        return found
+        for name in reversed(self._names("manifests")):
+            found = self._facts_in(f"manifests/{name}")
+            if found is None:
+                continue
+            for k, v in self._facts().items():
+                if found[k] != v:
+                    raise ValueError(f"the table has {k} {found[k]!r}, not {v!r}")
+            return found
+        return {**self._facts(), "number": 0, "snapshot": None, "lsn": 0, "next_id": 0, "tombstones": 0}
+
+    def _recover(self) -> list[dict[str, Any]]:
+        """The complete commits after the snapshot, in order."""
+        claims, found, at = self._names("claims"), [], None
+        for i, name in enumerate(claims):
+            first = int(name.removesuffix(".json"))
+            facts = self._facts_in(f"claims/{name}")
+            whole = facts is not None and self._exists(f"log/{first:020d}/_SUCCESS")
+            if not whole and i + 1 < len(claims):
+                raise RuntimeError(f"{self.path}: the commit at {first} is damaged, and others follow it")
+            if not whole:  # its writer never heard that it counts
+                self._remove(f"log/{first:020d}")
+                self._remove(f"claims/{name}")
+                break
+            if first > (at if at is not None else self.manifest["lsn"]) + 1:
+                raise RuntimeError(f"{self.path}: commits before {first} are missing")
+            at = facts["last"]
+            found.append({"first": first, **facts})
+        return [c for c in found if c["last"] > self.manifest["lsn"]]
+
+    def verify(self) -> None:
+        """Read the whole tail: every commit must hold its operations, once each."""
+        want = {c["first"]: c["last"] - c["first"] + 1 for c in self.commits}
+        for first, n in want.items():
+            rows = self.spark.read.schema(log_schema(self.config)).parquet(f"{self.path}/log/{first:020d}")
+            got = rows.agg(F.count_distinct("lsn"), F.count(F.lit(1)), F.min("lsn"), F.max("lsn")).first()
+            if tuple(got) != (n, n, first, first + n - 1):
+                raise RuntimeError(f"{self.path}: the commit at {first} holds other operations than it should")
 
     def _save(self, manifest: dict[str, Any]) -> None:
-        """Written aside and renamed, so that a reader finds the old or the new one."""
-        aside, where = self._fs_path(f"{self.path}/manifest.tmp"), self._fs_path(f"{self.path}/manifest.json")
-        out = self._fs.create(aside, True)
-        out.write(json.dumps(manifest).encode())
-        out.close()
-        self._fs.delete(where, False)
-        self._fs.rename(aside, where)
+        """The new manifest stands beside the old one until it is complete."""
+        manifest = {**manifest, "number": self.manifest["number"] + 1}
+        self._create(f"manifests/{manifest['number']:020d}.json", manifest)
         self.manifest = manifest
 
+    def _tidy(self) -> None:
+        """Remove commits that the snapshot covers, and what only older manifests name."""
+        for c in [c for c in self._names("claims") if int(c.removesuffix(".json")) <= self.manifest["lsn"]]:
+            self._remove(f"claims/{c}")  # first: a commit without a claim is not looked for
+            self._remove(f"log/{int(c.removesuffix('.json')):020d}")
+        for name in self._names("manifests")[:-2]:
+            self._remove(f"manifests/{name}")
+        named = {(self._facts_in(f"manifests/{m}") or {}).get("snapshot") for m in self._names("manifests")}
+        for name in self._names("snapshots"):
+            if f"snapshots/{name}" not in named:
+                self._remove(f"snapshots/{name}")
+        self.commits = [c for c in self.commits if c["last"] > self.manifest["lsn"]]
+
     # -- writing ------------------------------------------------------------
 
+    def _commit(self, rows: DataFrame, n: int, next_id: int) -> None:
+        """``rows`` have the n lsn after the present one."""
+        first, facts = self.lsn + 1, {"last": self.lsn + n, "next_id": next_id}
+        self._create(f"claims/{first:020d}.json", facts)
+        rows.write.mode("overwrite").parquet(f"{self.path}/log/{first:020d}")
+        self.commits.append({"first": first, **facts})
+        self.lsn, self.next_id = self.lsn + n, next_id
+        if self.every and self.lsn - self.manifest["lsn"] >= self.every:
+            self.checkpoint()
+
+    def reserve_ids(self, n: int) -> range:
+        """Ids for inserts that will name them; no other insert gets these."""
+        self.next_id += n
+        taken = range(self.next_id - n, self.next_id)
+        self.reserved.update(taken)
+        return taken
+
     def append(self, ops: list[dict[str, Any]]) -> list[int | bool]:
         """Validate and log operations as one commit; ids of inserts, else whether
-        the id was live.  A bad operation raises before anything is written."""
-        touched = {o["id"] for o in ops if o["op"] != "insert"}
+        the id was live.  A bad operation raises before anything is written.  An
+        insert may name an id that was reserved and not used yet."""
+        touched = {o["id"] for o in ops if "id" in o}
         live = {r[0] for r in self.current().where(F.col("id").isin(sorted(touched))).select("id").collect()} if touched else set()
         rows, results, next_id, lsn = [], [], self.next_id, self.lsn
         for o in ops:
@@ -115,7 +210,10 @@ class Store:
             has_meta = o["op"] in ("insert", "set_meta") or "attrs" in o
             values = self.config.schema.validate(o.get("attrs"))
             if o["op"] == "insert":
-                row_id, next_id = next_id, next_id + 1
+                row_id = o.get("id", next_id)
+                if "id" in o and (row_id not in self.reserved or row_id in live):
+                    raise ValueError(f"id {row_id} is in use or was not reserved")
+                next_id = max(next_id, row_id + 1)
                 live.add(row_id)
                 results.append(row_id)
             else:
@@ -128,8 +226,8 @@ class Store:
             lsn += 1
             rows.append((lsn, o["op"], row_id, vec, *values, o.get("payload"), vec is not None, has_meta))
         if rows:
-            self.spark.createDataFrame(rows, log_schema(self.config)).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
-        self.next_id, self.lsn = next_id, lsn
+            self._commit(self.spark.createDataFrame(rows, log_schema(self.config)).coalesce(1), len(rows), next_id)
+        self.reserved -= {o["id"] for o in ops if o["op"] == "insert" and "id" in o}
         return results
 
     def insert(self, vec: list[float], attrs: list[Any] | None = None, payload: bytes | None = None) -> int:
@@ -145,13 +243,11 @@ class Store:
         return self.append([{"op": "delete", "id": row_id}])[0]
 
     def insert_rows(self, rows: DataFrame) -> None:
-        """Bulk insert of (vec, attributes, payload) with ids in a row.
+        """Bulk insert of (vec, attributes, payload) with ids in a row, as one commit.
 
         Numbers are dealt in two levels (rows a partition, then places in it),
         so no task sees all rows.
         """
-        from pyspark.sql import Window
-
         marked = rows.withColumn("_p", F.spark_partition_id()).withColumn("_o", F.monotonically_increasing_id())
         marked.write.mode("overwrite").parquet(f"{self.path}/incoming")
         marked = self.spark.read.parquet(f"{self.path}/incoming")
@@ -165,15 +261,18 @@ class Store:
             (F.lit(self.lsn + 1) + F.col("_n")).cast("long").alias("lsn"), F.lit("insert").alias("op"), (F.lit(self.next_id) + F.col("_n")).cast("long").alias("id"), "vec",
             *self.attrs, "payload", F.lit(True).alias("has_vec"), F.lit(True).alias("has_meta"),
         )
-        log.write.mode("append").parquet(f"{self.path}/log")
-        self.lsn, self.next_id = self.lsn + n, self.next_id + n
+        if n:
+            self._commit(log, n, self.next_id + n)
+        self._remove("incoming")
 
     # -- reading ------------------------------------------------------------
 
     def log(self) -> DataFrame:
-        if not self._fs.exists(self._fs_path(f"{self.path}/log")):
+        """The operations after the snapshot: its commits' folders and no others."""
+        paths = [f"{self.path}/log/{c['first']:020d}" for c in self.commits]
+        if not paths:
             return self.spark.createDataFrame([], log_schema(self.config))
-        return self.spark.read.schema(log_schema(self.config)).parquet(f"{self.path}/log").where(F.col("lsn") > self.manifest["lsn"])
+        return self.spark.read.schema(log_schema(self.config)).parquet(*paths).where(F.col("lsn") > self.manifest["lsn"])
 
     def current(self) -> DataFrame:
         """The live rows: the snapshot and the log after it."""
@@ -194,16 +293,24 @@ class Store:
     # -- maintenance --------------------------------------------------------
 
     def checkpoint(self, keep_tombstones: bool = True) -> str:
-        """Write the state at the present lsn, then name it in the manifest."""
-        name, left = f"snapshot-{self.lsn:012d}", self.tombstones() if keep_tombstones else 0
-        self.current().write.mode("overwrite").parquet(f"{self.path}/{name}")
-        self._save({**self._facts(), "snapshot": name, "lsn": self.lsn, "next_id": self.next_id, "tombstones": left})
+        """Write the state at the present lsn, name it in the manifest, cut the log."""
+        return self._snapshot(self.current(), self.tombstones() if keep_tombstones else 0)
+
+    def _snapshot(self, rows: DataFrame, tombstones: int) -> str:
+        name = f"snapshots/{self.lsn:020d}-{self.manifest['number'] + 1}"
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        self._save({**self._facts(), "snapshot": name, "lsn": self.lsn, "next_id": self.next_id, "tombstones": tombstones})
+        self._tidy()
         return name
 
     def compact(self) -> str:
         """The same with the tombstones forgotten; ids stay as they are."""
         return self.checkpoint(keep_tombstones=False)
 
+    def clear(self) -> str:
+        """Forget all rows; schema and ids go on."""
+        return self._snapshot(self.current().where("false"), 0)
+
 
 def as_log(rows: DataFrame, attrs: list[str]) -> DataFrame:
     """State rows as inserts, to be folded with later operations."""
