@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import terms as query_terms
@@ -19,12 +19,15 @@ from ..functions.text import tokens
 
 K1 = float(np.float32(1.2))
 B = 0.75
+#: Bytes of a row group of postings, so that a term's range skips the others.
+ROW_GROUP = 1 << 20
 
 
 @dataclass
 class Index:
     postings: DataFrame  # term, id, tf, len
     documents: DataFrame  # id, len
+    totals: DataFrame | None = None  # n, avgdl: of a written index, one row
 
     @classmethod
     def build(cls, rows: DataFrame, text: str = "text") -> Index:
@@ -35,14 +38,36 @@ class Index:
         return cls(postings, docs.select("id", "len"))
 
     def write(self, path: str) -> Index:
-        """Both tables as parquet; postings ranged by term, so a query reads few row groups."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        """The tables as parquet.  Postings are ranged and sorted by term, so a
+        query's terms reach few files and few row groups of them; the totals
+        are kept, so that a query reads no lengths of other documents."""
+        self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
-        read = self.postings.sparkSession.read
-        return Index(read.parquet(f"{path}/postings"), read.parquet(f"{path}/documents"))
+        spark = self.postings.sparkSession
+        Index(self.postings, spark.read.parquet(f"{path}/documents")).stats().coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+        return Index.open(spark, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Index:
+        return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "documents", "totals")])
+
+    @classmethod
+    def cached(cls, rows: DataFrame, path: str, text: str = "text") -> Index:
+        """The index as it was written there, else built and written."""
+        spark = rows.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/totals/_SUCCESS")
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return cls.open(spark, path)
+        return cls.build(rows, text).write(path)
+
+    def without(self, gone: DataFrame) -> Index:
+        """The index less some documents (id): they count in no statistic."""
+        return Index(*[t.join(gone.select("id"), "id", "left_anti") for t in (self.postings, self.documents)])
 
     def stats(self) -> DataFrame:
         """(n, avgdl): one row."""
+        if self.totals is not None:
+            return self.totals
         return self.documents.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"))
 
     def document_frequency(self) -> DataFrame:
@@ -74,9 +99,10 @@ def search_text(index: Index, query: str, k: int, allowed: DataFrame | None = No
     return found.orderBy(F.desc("score"), "id").limit(k)
 
 
-def search_attr(rows: DataFrame, attr: str, schema: Any, query: str, k: int, pred: Any = None, **params: float) -> DataFrame:
-    """The same over a table: only text attributes can be ranked."""
+def search_attr(rows: DataFrame, attr: str, schema: Any, query: str, k: int, pred: Any = None, index: Index | None = None, **params: float) -> DataFrame:
+    """The same over a table: only text attributes can be ranked.  Without an
+    ``index`` of the attribute the whole table is tokenized for this query."""
     if schema[attr].type != "text":
         raise ValueError(f"{attr!r} is {schema[attr].type}, not text")
     allowed = rows.where(pred.column(schema)).select("id") if pred is not None else None
-    return search_text(Index.build(rows, attr), query, k, allowed, **params)
+    return search_text(index or Index.build(rows, attr), query, k, allowed, **params)

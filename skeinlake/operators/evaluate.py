@@ -30,10 +30,11 @@ def percentile(values: list[float], p: float) -> float:
     return ordered[max(0, -(-len(ordered) * p // 100) - 1).__int__()] if ordered else float("nan")
 
 
-def summary(samples: DataFrame, column: str) -> DataFrame:
-    """min, mean, median, p95, p99 and population deviation of a column, on the cluster."""
+def summary(samples: DataFrame, column: str, *by: str) -> DataFrame:
+    """min, mean, median, p95, p99 (nearest rank) and population deviation of a
+    column, on the cluster, of all rows or of each group."""
     c = F.col(column)
-    return samples.agg(
+    return samples.groupBy(*by).agg(
         F.min(c).alias("min"), F.avg(c).alias("mean"), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column})").alias("median"),
         F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {column})").alias("p95"), F.expr(f"percentile_disc(0.99) WITHIN GROUP (ORDER BY {column})").alias("p99"),
         F.stddev_pop(c).alias("stddev"),

@@ -114,10 +114,38 @@ class ShardGraph:
         return self.beam(q, at, max(ef, k), 0)[:k]
 
 
+def _frozen(g: ShardGraph) -> tuple[bytes, bytes, bytes]:
+    """Layers a node, links a layer and the links themselves, as whole numbers."""
+    layers = np.array([len(node) for node in g.links], np.uint8)
+    sizes = np.array([len(layer) for node in g.links for layer in node], np.uint16)
+    links = np.array([x for node in g.links for layer in node for x in layer], np.int32)
+    return layers.tobytes(), sizes.tobytes(), links.tobytes()
+
+
+def _thawed(g: ShardGraph, layers: bytes, sizes: bytes, links: bytes) -> ShardGraph:
+    cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.uint16), dtype=np.int64)]).tolist()
+    flat, at = np.frombuffer(links, np.int32).tolist(), 0
+    for n in np.frombuffer(layers, np.uint8).tolist():
+        g.links.append([flat[cuts[i] : cuts[i + 1]] for i in range(at, at + n)])
+        at += n
+    return g
+
+
+def _codes(v: np.ndarray, scale: float) -> np.ndarray:
+    """Codes of -127 to 127, halves away from zero."""
+    v = np.clip(v / scale, -127, 127)
+    return (np.sign(v) * np.floor(np.abs(v) + 0.5)).astype(np.int8)
+
+
+SHARD = "shard int, ids binary, vecs binary, layers binary, sizes binary, links binary, entry int, scale double, coded boolean, metric string"
+
+
 def build(rows: DataFrame, metric: str = "l2", m: int = M, ef: int = EF_BUILD, rows_per_shard: int = ROWS_PER_SHARD, quantize: str | None = None) -> DataFrame:
-    """One row a shard: ids, flat vectors, layers, links and the scale of codes.
+    """One row a shard: ids, vectors and links as packed numbers.
 
-    ``quantize="int8"`` stores codes; their scale is fitted to the table first.
+    ``quantize="int8"`` stores a byte a value in place of four, by a scale that
+    is fitted to the table first.  The table of shards can be written as
+    Parquet and searched as it is read: nothing is built again.
     """
     metric_of(metric)
     if quantize not in (None, "int8"):
@@ -125,53 +153,39 @@ def build(rows: DataFrame, metric: str = "l2", m: int = M, ef: int = EF_BUILD, r
     if quantize and metric != "l2":
         raise ValueError("codes are compared by squared distance only")
     shards = max(1, math.ceil(rows.count() / rows_per_shard))
-    scale = int8_scale(rows) if quantize else 1.0
-    graph = ShardGraph
+    scale = float(int8_scale(rows)) if quantize else 1.0
+    graph, codes, frozen = ShardGraph, _codes, _frozen
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        v = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-        if quantize:
-            v = np.clip(v / scale, -127, 127)
-            v = np.sign(v) * np.floor(np.abs(v) + 0.5)
-        g = graph(v, metric, m, ef).build()
-        flat = [x for node in g.links for layer in node for x in layer]
-        sizes = [[len(layer) for layer in node] for node in g.links]
-        return pd.DataFrame([{
-            "shard": int(pdf["shard"].iloc[0]), "ids": pdf["id"].tolist(), "dim": v.shape[1], "flat": v.ravel().tolist(), "layers": [len(s) for s in sizes],
-            "sizes": [x for s in sizes for x in s], "links": flat, "entry": g.entry, "scale": scale, "metric": metric,
-        }])
+        v = np.stack(pdf["vec"].to_numpy()).astype(np.float32)
+        v = codes(v.astype(np.float64), scale) if quantize else v
+        g = graph(v.astype(np.float64), metric, m, ef).build()
+        layers, sizes, links = frozen(g)
+        row = (int(pdf["shard"].iloc[0]), pdf["id"].to_numpy(np.int64).tobytes(), v.tobytes(), layers, sizes, links, g.entry, scale, bool(quantize), metric)
+        return pd.DataFrame([row], columns=[c.split()[0] for c in SHARD.split(", ")])
 
     dealt = rows.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
-    schema = "shard int, ids array<bigint>, dim int, flat array<double>, layers array<int>, sizes array<int>, links array<int>, entry int, scale double, metric string"
-    return dealt.groupBy("shard").applyInPandas(one, schema)
+    return dealt.groupBy("shard").applyInPandas(one, SHARD)
 
 
 def search(graphs: DataFrame, queries: list[tuple[int, list[float]]], k: int, ef: int = EF_SEARCH) -> DataFrame:
-    """(q, id, dist, rank): each shard's K best a query, merged."""
-    graph = ShardGraph
+    """(q, id, dist, rank): each shard's K best a query, merged.  A shard is
+    unpacked once for all queries of the call."""
+    graph, codes, thawed = ShardGraph, _codes, _thawed
     qs = [(int(q), np.asarray(v, np.float64)) for q, v in queries]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
-                g = graph(np.asarray(row.flat, np.float64).reshape(-1, row.dim), row.metric)
-                sizes, links = iter(row.sizes), np.asarray(row.links, np.int64).tolist()
-                at = 0
-                for layers in row.layers:
-                    node = []
-                    for _ in range(layers):
-                        n = next(sizes)
-                        node.append(links[at : at + n])
-                        at += n
-                    g.links.append(node)
+                ids = np.frombuffer(row.ids, np.int64)
+                v = np.frombuffer(row.vecs, np.int8 if row.coded else np.float32).reshape(len(ids), -1)
+                g = thawed(graph(v.astype(np.float64), row.metric), row.layers, row.sizes, row.links)
                 g.entry = row.entry
                 out = []
                 for q, v in qs:
-                    if row.scale != 1.0:
-                        v = np.clip(v / row.scale, -127, 127)
-                        v = np.sign(v) * np.floor(np.abs(v) + 0.5)
-                    out += [(q, int(row.ids[n]), d * row.scale**2) for d, n in g.search(v, k, ef)]
+                    found = g.search(codes(v, row.scale).astype(np.float64) if row.coded else v, k, ef)
+                    out += [(q, int(ids[n]), d * row.scale**2) for d, n in found]
                 yield pd.DataFrame(out, columns=["q", "id", "dist"])
 
     hits = graphs.mapInPandas(each, "q bigint, id bigint, dist double")

@@ -2,37 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.distance import metric as metric_of
-from .knn import literal
+from .knn import distances, literal, matrix
 
 NLIST, NPROBE, ITERATIONS = 100, 8, 25
+#: Files a cell is written to at most, so that a large cell is not one task.
+FILES = 16
+_ROWS = 4096
 
 
 def assign(rows: DataFrame, centroids: DataFrame, metric: str = "l2") -> DataFrame:
     """``rows`` with the nearest ``cell``, the lowest on ties.
 
-    The centroids are model parameters, as many as ``nlist`` says.  They go
-    into the row's own expression, so there is no join and no shuffle.
+    The centroids are model parameters, as many as ``nlist`` says: one array,
+    broadcast.  Rows meet it by matrix products in Arrow batches, a bounded
+    number at a time, without a join or a shuffle.
     """
-    return rows.withColumn("cell", _nearest(rows, centroids, metric)).where("cell is not null")
+    metric_of(metric)
+    cells = centroids.orderBy("cell").collect()
+    schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType())])
+    if not cells:
+        return rows.sparkSession.createDataFrame([], schema)
+    names, compare, step, stack = np.array([c["cell"] for c in cells], np.int32), distances, _ROWS, matrix
+    sent = rows.sparkSession.sparkContext.broadcast(np.array([c["centroid"] for c in cells], np.float64))
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [names[compare(stack(batch.column("vec").slice(i, step)), sent.value, metric).argmin(0)] for i in range(0, batch.num_rows, step)]
+            cell = pa.array(np.concatenate(near) if near else names[:0], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, cell], [*batch.schema.names, "cell"])
 
-def _nearest(rows: DataFrame, centroids: DataFrame, metric: str):
-    cells = [(r["cell"], r["centroid"]) for r in centroids.orderBy("cell").collect()]
-    if not cells:
-        return F.lit(None).cast("int")
-    table = F.array(*[F.struct(F.lit(c).cast("int").alias("cell"), F.array(*[F.lit(float(x)) for x in v]).alias("v")) for c, v in cells])
-    distance = metric_of(metric)
-    return F.array_min(F.transform(table, lambda c: F.struct(distance(F.col("vec"), c["v"]).alias("d"), c["cell"].alias("cell"))))["cell"]
+    return rows.mapInArrow(work, schema)
 
 
-def first_rows(rows: DataFrame, nlist: int) -> DataFrame:
-    """Starting centroids: the rows of the lowest ids, so that runs agree."""
-    some = rows.orderBy("id").limit(nlist)
+def sampled_rows(rows: DataFrame, nlist: int, seed: int = 42) -> DataFrame:
+    """Starting centroids: the rows whose seeded hash of the id is least, so
+    that runs agree and ids that follow some order do not matter."""
+    some = rows.select("id", "vec").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(nlist)
     cell = (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")) - 1).cast("int")
     return some.select(cell.alias("cell"), F.transform("vec", lambda x: x.cast("double")).alias("centroid"))
 
@@ -45,20 +59,25 @@ def lloyd_step(rows: DataFrame, centroids: DataFrame, metric: str = "l2") -> Dat
     return centroids.join(means, "cell", "left").select("cell", F.coalesce("mean", "centroid").alias("centroid"))
 
 
-def train(rows: DataFrame, nlist: int = NLIST, iterations: int = ITERATIONS, metric: str = "l2") -> DataFrame:
+def train(rows: DataFrame, nlist: int = NLIST, iterations: int = ITERATIONS, metric: str = "l2", seed: int = 42) -> DataFrame:
     """(cell, centroid) after a fixed number of Lloyd rounds.  A round is one
     pass; only ``nlist`` centroids come to the driver, which cuts the lineage."""
     spark = rows.sparkSession
     schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("centroid", T.ArrayType(T.DoubleType()))])
-    now = spark.createDataFrame([tuple(r) for r in first_rows(rows, nlist).collect()], schema)
+    now = spark.createDataFrame([tuple(r) for r in sampled_rows(rows, nlist, seed).collect()], schema)
     for _ in range(iterations):
         now = spark.createDataFrame([tuple(r) for r in lloyd_step(rows, now, metric).collect()], schema)
     return now
 
 
+def spread(cells: DataFrame) -> DataFrame:
+    """Rows with a ``cell``, dealt so that each cell is written to a few files."""
+    return cells.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(FILES)))
+
+
 def build(rows: DataFrame, centroids: DataFrame, path: str, metric: str = "l2") -> DataFrame:
     """Write the rows as one folder a cell: a probe then reads its folders only."""
-    assign(rows, centroids, metric).repartition("cell", F.pmod(F.xxhash64("id"), F.lit(16))).write.mode("overwrite").partitionBy("cell").parquet(path)
+    spread(assign(rows, centroids, metric)).write.mode("overwrite").partitionBy("cell").parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
@@ -67,9 +86,14 @@ def probes(centroids: DataFrame, query: list[float], nprobe: int = NPROBE, metri
     return [r["cell"] for r in near.collect()]
 
 
+def at_cells(cells: DataFrame, chosen: list[int]) -> DataFrame:
+    """The rows of the chosen cells; literal cells prune folders."""
+    return cells.where(F.col("cell").isin(chosen) if chosen else F.lit(False))
+
+
 def search(cells: DataFrame, centroids: DataFrame, query: list[float], k: int, nprobe: int = NPROBE, metric: str = "l2") -> DataFrame:
-    """(id, dist) of the K best in the nearest cells; literal cells prune folders."""
-    at = cells.where(F.col("cell").isin(probes(centroids, query, nprobe, metric)))
+    """(id, dist) of the K best in the nearest cells."""
+    at = at_cells(cells, probes(centroids, query, nprobe, metric))
     return at.select("id", metric_of(metric)(F.col("vec"), literal(query)).alias("dist")).orderBy("dist", "id").limit(k)
 
 

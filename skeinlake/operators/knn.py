@@ -12,17 +12,18 @@ from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import metric as metric_of
-from . import planner
 from .predicate import matching
 from .schema import Schema
 
-#: Queries of one block in bulk search: the broadcast has at most this many vectors.
+#: Queries that are broadcast at most.
 QUERY_BLOCK = 4096
+#: Queries and rows of one block of bulk search: a product has 2 million cells.
+QUERY_ROWS, CHUNK_ROWS = 512, 4096
 
 
 def literal(vec: list[float]) -> Column:
@@ -65,46 +66,56 @@ def distances(vecs: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def knn_bulk(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """(q, id, dist, rank) for many queries: blocks of ``QUERY_BLOCK`` queries
-    are broadcast in turn and compared by matrix products in Arrow batches;
-    each batch sends its K best a query to the merge."""
-    metric_of(metric)
-    found = None
-    block: list[tuple[int, list[float]]] = []
-    for q in queries.select("q", "qvec").toLocalIterator():
-        block.append((q[0], q[1]))
-        if len(block) == QUERY_BLOCK:
-            found = _union(found, _block_hits(rows, block, k, metric))
-            block = []
-    if block or found is None:
-        found = _union(found, _block_hits(rows, block, k, metric))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("dist", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+def matrix(column: pa.Array) -> np.ndarray:
+    """An Arrow column of vectors of one length as an (n, d) array of doubles."""
+    flat = np.asarray(column.flatten(), np.float64)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:
-    return b if a is None else a.unionByName(b)
+def _packed(rows: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
+    """(ids, vecs): rows of at most ``size`` vectors, as arrays."""
+    stack = matrix
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, size):
+                part = batch.slice(i, size)
+                pair = np.asarray(part.column(0), np.int64).tobytes(), stack(part.column(1)).astype(np.float32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in pair], ["ids", "vecs"])
 
-def _block_hits(rows: DataFrame, block: list[tuple[int, list[float]]], k: int, metric: str) -> DataFrame:
-    names = np.array([q for q, _ in block], np.int64)
-    sent = rows.sparkSession.sparkContext.broadcast(np.array([v for _, v in block], np.float64))
-    compare = distances
+    return rows.select(F.col(id_col).cast("long"), vec_col).mapInArrow(work, "ids binary, vecs binary")
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qs = sent.value
-        for pdf in batches:
-            if not len(pdf) or not len(qs):
-                continue
-            ids = pdf["id"].to_numpy(np.int64)
-            order = np.argsort(ids, kind="stable")
-            ids, vecs = ids[order], np.stack(pdf["vec"].to_numpy()).astype(np.float64)[order]
-            d = compare(vecs, qs, metric)
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"q": np.repeat(names, best.shape[1]), "id": ids[best].ravel(), "dist": np.take_along_axis(d, best, 1).ravel()})
 
-    return rows.select("id", "vec").mapInPandas(search, "q bigint, id bigint, dist double")
+def knn_bulk(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", broadcast_most: int = QUERY_BLOCK) -> DataFrame:
+    """(q, id, dist, rank) for many queries (q, qvec).
+
+    Rows and queries are packed into blocks; every block of rows meets every
+    block of queries once, by one bounded matrix product, and sends on only the
+    K best a query (and those as far as the K-th).  The query blocks are
+    broadcast after their number was checked, else dealt out; nothing passes
+    through the driver.
+    """
+    metric_of(metric)
+    few = queries.limit(broadcast_most + 1).count() <= broadcast_most
+    blocks = _packed(queries, "q", "qvec", QUERY_ROWS).toDF("qids", "qvecs")
+    pairs = _packed(rows, "id", "vec", CHUNK_ROWS).crossJoin(F.broadcast(blocks) if few else blocks)
+    compare = distances
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, vecs, names, qs = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float32 if c in (1, 3) else np.int64) for c in range(4))
+                d = compare(vecs.reshape(len(ids), -1).astype(np.float64), qs.reshape(len(names), -1).astype(np.float64), metric)
+                most = min(k, len(ids))
+                if not most:
+                    continue
+                worst = np.partition(d, most - 1, axis=1)[:, most - 1 :][:, :1]
+                q, n = np.nonzero(d <= worst)
+                yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(ids[n]), pa.array(d[q, n])], ["q", "id", "dist"])
+
+    found = pairs.mapInArrow(work, "q bigint, id bigint, dist double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("dist", "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def knn_pre(rows: DataFrame, query: list[float], k: int, pred: Any, schema: Schema, metric: str = "l2", strict: bool = True) -> DataFrame:
@@ -113,26 +124,29 @@ def knn_pre(rows: DataFrame, query: list[float], k: int, pred: Any, schema: Sche
 
 
 def knn_post(rows: DataFrame, query: list[float], k: int, pred: Any, schema: Schema, metric: str = "l2", strict: bool = True, matches: int | None = None, total: int | None = None) -> DataFrame:
-    """Search for so many that K matches must be among them, then filter.
+    """Search first and filter then: twice as many hits as long as fewer than K
+    of them match.  Over an exact index the result equals ``knn_pre``, which
+    reads less; this is the plan of an index that can't filter itself.
 
-    ``K + rows - matches`` hits always hold K matches if there are K; over an
-    exact index the result equals ``knn_pre``.
+    ``K + rows - matches`` hits always hold K matches if there are K, so that
+    is where the doubling ends.
     """
     if total is None or matches is None:
-        condition = pred.column(schema, strict)
-        total, matches = rows.agg(F.count(F.lit(1)), F.count(F.when(condition, 1))).first()
-    want = min(k + total - matches, total) if k else 0
+        total, matches = rows.agg(F.count(F.lit(1)), F.count(F.when(pred.column(schema, strict), 1))).first()
+    enough, want = min(k, matches), k
     allowed = matching(rows, pred, schema, strict).select("id")
-    return knn(rows, query, want, metric).join(allowed, "id", "left_semi").orderBy("dist", "id").limit(k)
-
-
-def knn_auto(rows: DataFrame, query: list[float], k: int, pred: Any, schema: Schema, metric: str = "l2", strict: bool = True, calibration: planner.Calibration | None = None) -> DataFrame:
-    """The cheaper of both by the exact share of matches."""
-    condition = pred.column(schema, strict)
-    total, matches = rows.agg(F.count(F.lit(1)), F.count(F.when(condition, 1))).first()
-    how = planner.choose(matches / total if total else 0.0, total, len(query), k, calibration)
-    if how == "post":
-        return knn_post(rows, query, k, pred, schema, metric, strict, matches, total)
+    while True:
+        want = min(want, k + total - matches)
+        hits = knn(rows, query, want, metric).join(allowed, "id", "left_semi").orderBy("dist", "id").limit(k)
+        if want >= k + total - matches or hits.count() >= enough:
+            return hits
+        want *= 2
+
+
+def knn_auto(rows: DataFrame, query: list[float], k: int, pred: Any, schema: Schema, metric: str = "l2", strict: bool = True) -> DataFrame:
+    """A scan is exact whichever way, and one that filters first compares less:
+    no counting scan, no choice.  ``index.Index.search_auto`` chooses where
+    there is an index to search."""
     return knn_pre(rows, query, k, pred, schema, metric, strict)
 
 

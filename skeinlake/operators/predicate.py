@@ -86,3 +86,11 @@ def selectivity(rows: DataFrame, pred: Any, schema: Schema, strict: bool = True)
     """Share of rows that match, exactly; 0 for no rows.  One scan."""
     n, k = rows.agg(F.count(F.lit(1)), F.count(F.when(pred.column(schema, strict), 1))).first()
     return k / n if n else 0.0
+
+
+def selectivities(rows: DataFrame, attr: str) -> DataFrame:
+    """(value, n, selectivity) of every value of an attribute, null too: its
+    share of all rows.  One pass; the values meet their total by a broadcast row."""
+    counted = rows.groupBy(F.col(attr).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    total = rows.agg(F.count(F.lit(1)).alias("_all"))
+    return counted.crossJoin(F.broadcast(total)).select("value", "n", (F.col("n") / F.col("_all")).alias("selectivity"))
