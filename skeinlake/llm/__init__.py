@@ -1,11 +1 @@
-"""Training-data operators.
-
-Nothing outside this subpackage imports it.  Python functions of the package
-travel to the executors by value, so a cluster needs no installed copy.
-"""
-
-from pyspark import cloudpickle
-
-import skeinlake
-
-cloudpickle.register_pickle_by_value(skeinlake)
+"""Training-data operators.  Nothing outside this subpackage imports it."""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import remove, shared_dir
+
 #: ASCII white space, as the result contracts spell it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,45 +21,82 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+_OPEN: list[list[str]] = []
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) does the session get one of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="skeinlake-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is settled inside is removed at the end, but for what is kept."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN.remove(paths)
+        for path in paths:
+            remove(spark, path)
 
 
-def settle(df: DataFrame, tag: str) -> DataFrame:
+def _place(spark: SparkSession, name: str, keep: bool = False) -> str:
+    path = f"{shared_dir(spark)}/skeinlake/{name}"
+    if _OPEN and not keep:
+        _OPEN[-1].append(path)
+    return path
+
+
+def settle(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs tasks, not the stages before, and
-    what several branches read is computed once.
+    what several branches read is computed once.  The files stay as long as
+    the result may be read; a ``scratch`` block removes those written in it,
+    unless they are to ``keep``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skeinlake/{tag}-{uuid.uuid4().hex}"
+    path = _place(spark, f"{tag}-{uuid.uuid4().hex}", keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settle_by(df: DataFrame, key: str, tag: str) -> DataFrame:
-    """``settle``, laid out by the hash of ``key`` without a shuffle, so that a
-    join on it moves the other side only.  For a few large rows a task: each
-    task writes one file a bucket that it has rows of.
+def settle_by(df: DataFrame, key: str, tag: str, whole: bool = True) -> DataFrame:
+    """``settle``, laid out by the hash of ``key``, so that a join or a window
+    on it moves the other side only, or nothing.  ``df`` should come from a
+    join or an aggregate on ``key``: its tasks then hold ``whole`` buckets, and
+    there is one file a bucket.  Where ``key`` is the number of the task, each
+    task has one bucket; twice as many of them keep two tasks mostly apart.
     """
     spark = df.sparkSession
     name = f"skeinlake_{tag}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/skeinlake/{name}").saveAsTable(name)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * (1 if whole else 2)
+    df.write.bucketBy(buckets, key).option("path", _place(spark, name)).saveAsTable(name)
     out = spark.table(name)
     out.schema  # resolved: the files stay, the name need not
     spark.sql(f"DROP TABLE {name}")
     return out
 
 
+#: Bytes of one Arrow batch, at most (but for a single row that is longer).
+BATCH_BYTES = 64 << 20
+#: Rows of a small table that is broadcast; one of more rows is shuffled.
+SMALL_ROWS = 100_000
+
+
+def map_arrow(df: DataFrame, work, schema) -> DataFrame:
+    """``mapInArrow`` in batches of bounded bytes: rows carry whole texts, and
+    the usual bound of 10,000 rows may be gigabytes.  A session whose bound is
+    smaller keeps it."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(key)).lower().rstrip("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(work, schema)
+
+
+def small_side(table: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A settled table as one side of a join with large rows: broadcast if it
+    has at most ``most`` rows, else sorted and merged."""
+    return F.broadcast(table) if table.count() <= most else table.hint("merge")
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

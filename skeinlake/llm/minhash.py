@@ -15,13 +15,21 @@ reach.  Equal sets are folded into one representative first.
 
 Links are confirmed on the full sets, natively: first the best centre of each
 document; then, of the pairs that these links do not already connect, the
-rest.  Components are the classes.  A bucket whose members still lie in
-several components draws new centres from its largest one for the others: a
-document on the edge of a large class needs the few members that it is close
-to.
+rest.  Components are the classes.  Then turns follow over finer buckets, of
+two bands each, which bad centres rarely reach.  Only buckets whose members
+lie in several components take part, and a centre is paired only with members
+of other components than its own, so a document that has found its class costs
+nothing more.  The first turn draws these centres anew; later ones take them
+from the documents that the last turn has linked, through which others may be
+reached.  Turns end when one finds no link, however many it takes.
 
 At a similarity of 0.8 a band of 4 is shared with probability 0.41 and all 32
-are missed with 5e-8.
+are missed with 5e-8; two bands are shared with probability 0.17 and the 64
+finer buckets are missed with 7e-6.  No count of partners, centres or turns is
+limited.  What is not guaranteed is that a similar pair meets: a bucket never
+emits all its pairs, so a link that no centre hits, in no bucket and turn, is
+lost if nothing else connects its ends.  The README has the recall of links
+against brute force.
 """
 
 from __future__ import annotations
@@ -30,10 +38,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import settle
+from .common import map_arrow, settle, settle_by, small_side
 from .components import components
 from .kernels import Powers, _mix, byte_classes, chain, chunks, lower_values, string_buffers, word_hashes, word_spans
 
@@ -42,8 +51,10 @@ ROWS = 4
 BANDS = BINS // ROWS
 SHINGLE = 5
 SIMILAR = 80  # of 100
-#: Centres drawn for a bucket, and met by a document, turn by turn.
-DRAWS = ((2, 16), (8, 64), (8, 64))
+#: How far from each other the two bands of a finer bucket are.
+APART = (1, 2)
+#: Centres that a finer bucket draws in the first turn.
+DRAWS = 2
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -115,7 +126,7 @@ def signatures(docs: DataFrame, size: int, bins: int = BINS, rows: int = ROWS) -
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (f1, f2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *longs, lists], ["_id", "n", "f1", "f2", "bands"])
 
-    return docs.mapInArrow(work, schema)
+    return map_arrow(docs, work, schema)
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -131,78 +142,96 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], ["_id", "s"])
 
-    return docs.mapInArrow(work, schema)
-
-
-_HALF = "transform(sequence(0, size(bands) div 2 - 1), i -> xxhash64(bands[2 * i], bands[2 * i + 1]))"
+    return map_arrow(docs, work, schema)
 
 
 def _keys(nodes: DataFrame, buckets: Column, *also: str) -> DataFrame:
     return nodes.select("_id", *also, F.explode(buckets).alias("key"))
 
 
-def _draw(i: int) -> Column:
-    """What an identifier is xor-ed with to draw a centre: the least of the
-    results names its identifier again, so a draw is a minimum of one long."""
-    return F.xxhash64("key", F.lit(i))
+class _Draw:
+    """Random orders of the members of a bucket, whose least is its centre.
+
+    A whole-number identifier is xor-ed with a hash of the bucket and the
+    draw's number, which can be undone, so that a draw is a minimum of one
+    long; others are ordered by a hash.
+    """
+
+    def __init__(self, nodes: DataFrame, number: int) -> None:
+        self.whole, self.salt = nodes.schema["_id"].dataType.typeName() == "long", F.xxhash64("key", F.lit(number))
+        self.order = F.col("_id").bitwiseXOR(self.salt) if self.whole else F.struct(F.xxhash64("_id", self.salt), F.col("_id").alias("i"))
+
+    def member(self, least: str) -> Column:
+        return F.col(least).bitwiseXOR(self.salt) if self.whole else F.col(f"{least}.i")
 
 
 def _star_pairs(nodes: DataFrame) -> DataFrame:
     """(a, b, shared): pairs of a bucket's centre and its members, with the
     number of buckets that pair them.  One bucket a band."""
-    keys = _keys(nodes, F.col("bands"))
-    drawn = F.col("_id").bitwiseXOR(_draw(-1))
-    centres = keys.groupBy("key").agg(F.min(drawn).alias("lo"), F.max(drawn).alias("hi")).where("hi <> lo")
-    centres = centres.select("key", F.col("lo").bitwiseXOR(_draw(-1)).alias("c"))
+    keys, draw = _keys(nodes, F.col("bands")), _Draw(nodes, -1)
+    centres = keys.groupBy("key").agg(F.min(draw.order).alias("lo"), F.max(draw.order).alias("hi")).where("hi <> lo")
+    centres = centres.select("key", draw.member("lo").alias("c"))
     pairs = keys.join(centres, "key").where("_id <> c")
     return pairs.groupBy(F.least("_id", "c").alias("a"), F.greatest("_id", "c").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
-def _drawn_pairs(nodes: DataFrame, turn: int) -> DataFrame:
-    """(a, b): members outside of the largest component of their bucket, each
-    with centres drawn from it.  ``nodes`` have a ``root``; buckets are the
-    bands and the pairs of bands."""
-    keys = _keys(nodes, F.concat("bands", F.expr(_HALF)), "root")
-    per_bucket, met = DRAWS[turn]
-    draws = range(turn * 8, turn * 8 + per_bucket)
-    parts = keys.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"), *[F.min(F.col("_id").bitwiseXOR(_draw(i))).alias(f"d{i}") for i in draws])
-    part = F.struct("k", "root", F.array(*[F.col(f"d{i}").bitwiseXOR(_draw(i)) for i in draws]).alias("cs"))
-    mixed = parts.select("key", "root", part.alias("p")).groupBy("key").agg(F.max("p").alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    mixed = mixed.select("key", F.col("p.root").alias("big"), F.col("p.cs").alias("cs"))
-    found = keys.join(mixed, "key").where("root <> big").select("_id", F.explode(F.array_distinct("cs")).alias("c")).distinct()
-    some = Window.partitionBy("_id").orderBy(F.xxhash64("_id", "c", F.lit(turn)))  # at most a draw a bucket
-    found = found.withColumn("_k", F.row_number().over(some)).where(F.col("_k") <= met)
-    return found.select(F.least("_id", "c").alias("a"), F.greatest("_id", "c").alias("b")).distinct()
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; pairs whose sizes
-    rule that out never meet their sets."""
-    sizes = sets.select("_id", "n")
-    pairs = pairs.select("a", "b").join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    pairs = pairs.where(F.lit(100) * F.least("na", "nb") >= F.lit(similar) * F.greatest("na", "nb")).select("a", "b", (F.col("na") + F.col("nb")).alias("both"))
-    sides = [sets.select(F.col("_id").alias(x), F.col("s").alias(f"s{x}")) for x in ("a", "b")]
-    joined = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("_in", F.size(F.array_intersect("sa", "sb")))
-    return joined.where(F.lit(100) * F.col("_in") >= F.lit(similar) * (F.col("both") - F.col("_in"))).select("a", "b")
-
-
-def _rooted(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the roots ra and rb."""
-    for side in ("a", "b"):
-        pairs = pairs.join(known.select(F.col("_id").alias(side), F.col("root").alias(f"r{side}")), side)
-    return pairs.where("ra <> rb")
+def _twos(nodes: DataFrame) -> DataFrame:
+    """(key, _id): the buckets of two bands, ``APART`` bands from each other."""
+    of = "transform(sequence(0, size(bands) - 1), i -> xxhash64(bands[i], bands[(i + {0}) % size(bands)], i, {0}))"
+    return _keys(nodes, F.concat(*[F.expr(of.format(k)) for k in APART]))
+
+
+def _mixed(keys: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``keys`` in buckets of several components."""
+    rows = keys.join(known.drop("n"), "_id")
+    buckets = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return settle(keys.join(settle(buckets, "buckets"), "key"), "keys")
+
+
+def _turn_pairs(keys: DataFrame, known: DataFrame, turn: int, ends: DataFrame | None) -> DataFrame:
+    """(a, b): centres of buckets, each with the members of other components
+    than its own.  The first turn draws ``DRAWS`` of all members, later ones
+    one of the ``ends`` (_id, root) of the links found last.  A draw is the
+    least of its members, component by component first, so that it combines on
+    the map side."""
+    rows = keys.join(known.drop("n"), "_id")
+    drawn_from = rows if ends is None else keys.join(small_side(ends), "_id")
+    draws = {f"d{i}": _Draw(keys, turn * DRAWS + i) for i in range(DRAWS if ends is None else 1)}
+    parts = drawn_from.groupBy("key", "root").agg(*[F.min(d.order).alias(x) for x, d in draws.items()])
+    centres = parts.groupBy("key").agg(*[F.min(F.struct(x, "root")).alias(f"m_{x}") for x in draws])
+    centres = centres.select("key", *[F.col(f"m_{x}.{x}").alias(x) for x in draws], *[F.col(f"m_{x}.root").alias(f"of_{x}") for x in draws])
+    each = F.array_distinct(F.array(*[F.struct(d.member(x).alias("c"), F.col(f"of_{x}").alias("of")) for x, d in draws.items()]))
+    centres = settle(centres.select("key", F.explode(each).alias("e")).select("key", "e.c", "e.of"), "centres")
+    met = rows.join(centres, "key").where("root <> of")
+    return met.select(F.least("_id", "c").alias("a"), F.greatest("_id", "c").alias("b")).distinct()
 
 
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the known components do not connect."""
-    return _rooted(pairs.select("a", "b"), known).select("a", "b")
+    """Pairs (a, b) of two components, with what is known of both."""
+    for x in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("_id").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}")), x)
+    return pairs.where("ra <> rb")
+
+
+def _confirmed(pairs: DataFrame, known: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """The pairs (a, b), not connected so far, whose full sets are similar
+    enough; pairs whose sizes rule that out never meet their sets.  ``sets``
+    are laid out by ``_id`` and stay where they are; what moves is the pairs,
+    once with a set."""
+    hundred, least = F.lit(100), F.lit(similar)
+    fit = hundred * F.least("na", "nb") >= least * F.greatest("na", "nb")
+    pairs = _apart(pairs.select("a", "b"), known).where(fit | F.isnull("na") | F.isnull("nb")).select("a", "b")
+    for x in ("b", "a"):
+        pairs = pairs.join(sets.select(F.col("_id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")), x)
+    pairs = pairs.withColumn("_in", F.size(F.array_intersect("sa", "sb")))
+    return pairs.where(hundred * F.col("_in") >= least * (F.col("na") + F.col("nb") - F.col("_in"))).select("a", "b")
 
 
 def _joined(known: DataFrame, links: DataFrame) -> DataFrame:
-    """(_id, root) after more links: components of components."""
-    merged = components(_rooted(links, known).select("ra", "rb"), "ra", "rb")
+    """(_id, root, n) after more links: components of components."""
+    merged = components(_apart(links, known).select("ra", "rb"), "ra", "rb")
     known = known.join(merged.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left")
-    return settle(known.select("_id", F.coalesce("_to", "root").alias("root")), "roots")
+    return settle(known.select("_id", F.coalesce("_to", "root").alias("root"), "n"), "roots")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
@@ -210,32 +239,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are split at ASCII white space, A-Z lower-cased; a text of fewer than
     ``size`` words is one shingle; null, empty and blank texts have none and
-    link with nothing.  Rows that share an identifier are one document.  A row
-    whose identifier is null links with nothing, has a null ``component_id``
-    and is kept.  An empty table gives an empty result.
+    link with nothing.  Rows that share an identifier are one document: their
+    texts are linked with each other, each row comes back once with its own
+    ``n_shingles``, and they are kept together.  Identifiers may be of any
+    ordered type.  A row whose identifier is null links with nothing, has a
+    null ``component_id`` and is kept.  An empty table gives an empty result;
+    further columns are ignored.
+
+    Sets are compared as sets of 64-bit shingle hashes, all of them; sets count
+    as equal when their sizes and 128 bits of two order-free sums of these
+    hashes agree.
     """
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    kind = docs.schema[id_col].dataType
+    key = F.col(id_col).cast("long") if isinstance(kind, T.IntegralType) else F.col(id_col)
+    base = docs.select(key.alias("_id"), F.col(text_col).cast("string").alias("_text"))
     signed = settle(signatures(base, size), "signatures")
     nodes = signed.where("n > 0 and _id is not null").groupBy("f1", "f2", "n").agg(F.min("_id").alias("_id"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
     nodes = settle(nodes, "nodes")
+    folded = nodes.where("rows > 1").select("f1", "f2", "n", F.col("_id").alias("_rep"))
+    rows = settle(signed.drop("bands").join(folded, ["f1", "f2", "n"], "left").select("_id", "n", F.coalesce("_rep", "_id").alias("_node")), "rows")
+
+    # Texts of one identifier are linked, whatever their sets: by bearing its name, or here.
+    own = rows.where("n > 0 and _id is not null")
+    twins = own.groupBy("_id").agg(F.min("_node").alias("a"), F.max("_node").alias("_hi")).where("a <> _hi").select("_id", "a")
+    twins = settle(own.join(twins, "_id").where("_node <> a").select("a", F.col("_node").alias("b")).distinct(), "twins")
+
     stars = settle(_star_pairs(nodes), "stars")
-    wanted = settle(stars.select(F.col("a").alias("_id")).unionByName(stars.select(F.col("b").alias("_id"))).distinct(), "wanted")
+    wanted = stars.select(F.col("a").alias("_id")).unionByName(stars.select(F.col("b").alias("_id"))).distinct()
+    wanted = settle(wanted, "wanted")
     # As many texts as have a partner: this join is sorted and merged at any size.
-    sets = full_sets(base.join(wanted.hint("merge"), "_id"), size).dropDuplicates(["_id"])
-    sets = settle(sets.withColumn("n", F.size("s").cast("long")), "sets")
+    sets = full_sets(base.join(wanted.hint("merge"), "_id"), size).where("size(s) > 0").withColumn("n", F.size("s").cast("long"))
+    sets = settle_by(sets.withColumn("h", F.xxhash64("s")).dropDuplicates(["_id", "n", "h"]).drop("h"), "_id", "sets")
 
-    best = F.max(F.struct("shared", F.negate("a").alias("o"), F.col("a").alias("a")))
-    first = stars.groupBy("b").agg(best.alias("m")).select("m.a", "b")
     close = settle(nodes.join(wanted, "_id").select("_id", "bands"), "close")
-    known = close.select("_id", F.col("_id").alias("root"))
-    known = _joined(known, settle(_confirmed(first, sets, similar), "confirmed"))
-    known = _joined(known, settle(_confirmed(_apart(stars, known), sets, similar), "confirmed"))
-    for turn in range(len(DRAWS)):
-        drawn = _drawn_pairs(close.join(known, "_id"), turn)
-        known = _joined(known, settle(_confirmed(drawn, sets, similar), "confirmed"))
-
-    folded = nodes.where("rows > 1").select("f1", "f2", "n", F.col("_id").alias("_rep"))
-    out = signed.drop("bands").join(folded, ["f1", "f2", "n"], "left").withColumn("_node", F.coalesce("_rep", "_id"))
-    out = out.join(known.withColumnRenamed("_id", "_node"), "_node", "left")
+    # What is known of a node: its component and, if it has one text, its size.
+    sizes = sets.groupBy("_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("_k")).select("_id", F.when(F.col("_k") == 1, F.col("n")).alias("n"))
+    known = wanted.unionByName(twins.select(F.col("a").alias("_id"))).unionByName(twins.select(F.col("b").alias("_id"))).distinct()
+    known = settle(known.join(sizes, "_id", "left").select("_id", F.col("_id").alias("root"), "n"), "roots")
+    first = stars.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select("m.a", "b")
+    known = _joined(known, settle(_confirmed(first, known, sets, similar).unionByName(twins), "confirmed"))
+    known = _joined(known, settle(_confirmed(stars, known, sets, similar), "confirmed"))
+    keys, ends, turn = _mixed(_twos(close), known), None, 0
+    while True:
+        links = settle(_confirmed(_turn_pairs(keys, known, turn, ends), known, sets, similar), "confirmed")
+        if links.isEmpty():
+            break
+        known, turn = _joined(known, links), turn + 1
+        both = links.select(F.col("a").alias("_id")).unionByName(links.select(F.col("b").alias("_id"))).distinct()
+        ends = settle(both.join(known, "_id").select("_id", "root"), "ends")
+
+    out = rows.join(known.select(F.col("_id").alias("_node"), "root"), "_node", "left")
     component = F.when(F.col("_id").isNotNull() & (F.col("n") > 0), F.coalesce("root", "_node")).otherwise(F.col("_id"))
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("_id")).alias("kept"))
+    return out.select(
+        F.col("_id").cast(kind).alias(id_col),
+        F.col("n").alias("n_shingles"),
+        component.cast(kind).alias("component_id"),
+        component.eqNullSafe(F.col("_id")).alias("kept"),
+    )
