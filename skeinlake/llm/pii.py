@@ -1,9 +1,10 @@
 """Personal data in texts, natively (operator 6).
 
 Regular expressions propose spans; validators (Luhn for cards, the remainder
-by 97 for account numbers, ranges for addresses and digit counts for phones)
-confirm them; words near a span raise its score.  The base kinds are always
-reported; the added kinds (``iban``, ``idno``) only from ``LEAST`` points on.
+by 97 for account numbers, ranges for addresses, digit counts for phones, the
+parts that are never given out for identity numbers) confirm them; whole words
+near a span raise its score.  The base kinds are always reported; the added
+kinds (``iban``, ``idno``) only from ``LEAST`` points on.
 
 One scan of the texts, no shuffle, no Python.  The patterns are the plain ones
 with possessive repeats and anchors, under which they match the same spans but
@@ -36,13 +37,17 @@ PATTERNS = {
 #: Points of a confirmed span, and more if a context word is near.
 POINTS = {"email": (90, 5), "ip": (60, 30), "card": (80, 15), "phone": (70, 20), "iban": (85, 10), "idno": (30, 40)}
 WORDS = {
-    "email": "mail|contact|write|kontakt|correo|courriel",
-    "ip": "addr|server|host|login|client",
-    "card": "card|visa|master|credit|payment|karte|carte|tarjeta",
-    "phone": "phone|call|tel|mobile|fax|ruf",
-    "iban": "iban|account|bank|konto|compte|cuenta",
+    "email": "e?mails?|contact|write|kontakt|correo|courriel",
+    "ip": "addr|address|servers?|hosts?|login|clients?",
+    "card": "cards?|visa|master|mastercard|credit|payments?|karte|carte|tarjeta",
+    "phone": "phones?|calls?|tel|telephone|telefon|telefono|mobile|fax|ruf",
+    "iban": "iban|accounts?|bank|konto|compte|cuenta",
     "idno": "ssn|social|security|identity|tax",
 }
+#: Whole words of ASCII letters only: ``tel`` is not in ``hotel``.
+NEAR = {k: f"(?:^|[^a-z])(?:{w})(?:[^a-z]|$)" for k, w in WORDS.items()}
+#: Identity numbers whose parts are all in use: no 000, 666 or 9.. before, no zeros after.
+IDNO = r"^(?:00[1-9]|0[1-9][0-9]|[1-578][0-9]{2}|6(?:[0-57-9][0-9]|6[0-57-9]))-(?:0[1-9]|[1-9][0-9])-(?:000[1-9]|00[1-9][0-9]|0[1-9][0-9]{2}|[1-9][0-9]{3})$"
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,7 +60,7 @@ def _valid(kind: str, m: Column) -> Column:
         return F.length(digits(m)).between(10, 15)
     if kind == "iban":
         return F.length(F.replace(m, F.lit(" "), F.lit(""))).between(15, 34) & (mod97(F.replace(m, F.lit(" "), F.lit(""))) == 1)
-    return F.lit(True)
+    return m.rlike(IDNO) if kind == "idno" else F.lit(True)
 
 
 def _spans(kind: str, order: int) -> Column:
@@ -63,7 +68,7 @@ def _spans(kind: str, order: int) -> Column:
 
     def span(x: Column) -> Column:
         near = F.translate(F.concat(x["before"], F.lit("\n"), x["after"]), _CAPITALS, _SMALL)
-        points = F.lit(sure) + F.when(near.rlike(WORDS[kind]), more).otherwise(0)
+        points = F.lit(sure) + F.when(near.rlike(NEAR[kind]), more).otherwise(0)
         stop = x["start"] + F.char_length(x["m"])
         return F.struct(x["start"].alias("start"), F.lit(order).alias("rank"), F.lit(kind).alias("kind"), stop.alias("stop"), x["m"].alias("text"), points.alias("points"))
 

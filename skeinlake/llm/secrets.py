@@ -11,11 +11,13 @@ alphanumeric, base 64).  Then
   what prose of that length gives: ``p`` is the chance that prose looks as
   uniform, so a short run needs to be more even than a long one;
 * a runs test (upper against lower half of the alphabet) and the serial
-  correlation of neighbours must look like chance: sequences such as
-  ``abcdefgh`` are even but not random.
+  correlation of neighbours ask for an order that chance would not give:
+  sequences such as ``abcdefgh`` are even but not random.
 
-A document's runs are one family of tests: the Benjamini-Hochberg rule holds
-the share of false discoveries among them at ``RATE``.
+A document's runs are two families of tests, each under the Benjamini-Hochberg
+rule.  Those whose evenness is no chance of prose are found with a share of
+false discoveries of ``RATE``; of these, the ones found orderly by the second
+family, of two tests a run, with a share of ``ORDER_RATE``, are let go.
 
 One scan, no shuffle, no Python.
 """
@@ -30,7 +32,7 @@ from .spans import joined, symbols, with_matches
 
 BASE = ("assign", "access", "hex")
 RATE = 0.05
-Z_MOST = 3.29
+ORDER_RATE = 0.002
 _NAMES = "password|passwd|secret|token|api_?key"
 ASSIGN = rf"((?i:{_NAMES}))[\"']?+\x20*+[:=]\x20*+[\"']?+([A-Za-z0-9+/_.=-]++)"
 PATTERNS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]++", "hex": r"[0-9a-f]{16,}+", "random": r"[A-Za-z0-9+/=_-]{20,}+"}
@@ -104,7 +106,19 @@ def _with_scores(x: Column) -> Column:
     under = x["power"] - n * mean * mean
     over = x["products"] - mean * (2.0 * x["total"] - x["ends"]) + (n - 1.0) * mean * mean
     z_serial = F.when(under > 0, over / under * F.sqrt(n)).otherwise(99.0)
-    return F.struct(x["start"].alias("start"), x["m"].alias("m"), p.alias("p"), z_runs.alias("z_runs"), z_serial.alias("z_serial"))
+
+    def chance(z: Column) -> Column:
+        """How often chance gives a z as large, on either side."""
+        return 2.0 / (1.0 + F.exp(1.5976 * F.abs(z) + 0.070565 * F.abs(z) * F.abs(z) * F.abs(z)))
+
+    return F.struct(x["start"].alias("start"), x["m"].alias("m"), p.alias("p"), chance(z_runs).alias("p_runs"), chance(z_serial).alias("p_serial"))
+
+
+def _discovered(ps: str, rate: float) -> Column:
+    """Benjamini-Hochberg: the largest of a sorted list of p that stays under
+    its rank's share, or -1."""
+    under = F.filter(F.transform(ps, lambda p, i: F.when(p <= (i + 1).cast("double") * rate / F.size(ps).cast("double"), p)), lambda p: p.isNotNull())
+    return F.coalesce(F.array_max(under), F.lit(-1.0))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,11 +135,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = with_matches(base, "_text", {k: (v, guards.get(k, always)) for k, v in PATTERNS.items()})
     for step in (None, _with_codes, _with_sums, _with_scores):
         found = found.withColumn("_at_random", _inferred(F.col("_at_random")) if step is None else F.transform("_at_random", step))
-    # Benjamini-Hochberg: the largest p that stays under its rank's share.
-    found = found.withColumn("_ps", F.array_sort(F.transform("_at_random", lambda x: x["p"])))
-    under = F.filter(F.transform("_ps", lambda p, i: F.when(p <= (i + 1).cast("double") * RATE / F.size("_ps").cast("double"), p)), lambda p: p.isNotNull())
-    found = found.withColumn("_cut", F.coalesce(F.array_max(under), F.lit(-1.0)))
-    chosen = F.filter("_at_random", lambda x: (x["p"] <= F.col("_cut")) & (F.abs(x["z_runs"]) < Z_MOST) & (F.abs(x["z_serial"]) < Z_MOST))
+    orders = F.concat(F.transform("_at_random", lambda x: x["p_runs"]), F.transform("_at_random", lambda x: x["p_serial"]))
+    found = found.withColumn("_ps", F.array_sort(F.transform("_at_random", lambda x: x["p"]))).withColumn("_os", F.array_sort(orders))
+    found = found.withColumn("_cut", _discovered("_ps", RATE)).withColumn("_odd", _discovered("_os", ORDER_RATE))
+    chosen = F.filter("_at_random", lambda x: (x["p"] <= F.col("_cut")) & (x["p_runs"] > F.col("_odd")) & (x["p_serial"] > F.col("_odd")))
     kept = {
         "assign": F.filter("_at_assign", lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 12),
         "access": F.filter("_at_access", lambda x: F.length(x["m"]) >= 18),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .pii import BASE, LEAST, POINTS, WORDS
+from .pii import BASE, IDNO, LEAST, NEAR, POINTS
 from .secrets import BASE as SECRET_BASE
-from .secrets import RATE, Z_MOST
+from .secrets import ORDER_RATE, RATE
 
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 _PII = {
@@ -32,7 +32,7 @@ s AS (SELECT r, kind, rank, m[i] AS x, CAST(list_sum(list_transform(p[1:i], lamb
 
 def _pii_sql() -> str:
     ip = r"^" + r"\.".join([r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"] * 4) + "$"
-    points = " ".join(f"WHEN '{k}' THEN {sure} + CASE WHEN regexp_matches(near, '{WORDS[k]}') THEN {more} ELSE 0 END" for k, (sure, more) in POINTS.items())
+    points = " ".join(f"WHEN '{k}' THEN {sure} + CASE WHEN regexp_matches(near, '{NEAR[k]}') THEN {more} ELSE 0 END" for k, (sure, more) in POINTS.items())
     names = ", ".join(f"'{k}'" for k in BASE)
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _PII)
     return f"""{placed_sql(_PII, 40)},
@@ -44,6 +44,7 @@ v AS (
   WHERE CASE kind
     WHEN 'ip' THEN regexp_matches(x, '{ip}')
     WHEN 'phone' THEN length(dig) BETWEEN 10 AND 15
+    WHEN 'idno' THEN regexp_matches(x, '{IDNO}')
     WHEN 'card' THEN length(dig) BETWEEN 14 AND 19 AND
       list_sum(list_transform(string_split(reverse(dig), ''), lambda c, i:
         CASE WHEN i % 2 = 0 THEN CAST(c AS INT) * 2 - CASE WHEN CAST(c AS INT) > 4 THEN 9 ELSE 0 END ELSE CAST(c AS INT) END)) % 10 = 0
@@ -95,18 +96,23 @@ q AS (
 z AS (
   SELECT r, start, x, n, (a / n * squares - n - (n * (a * ic - 1.0::DOUBLE) + a - 1.0::DOUBLE)) / sqrt(4.0::DOUBLE * n * a * a * sp + 2.0::DOUBLE * (a - 1.0::DOUBLE)) AS z,
          2.0::DOUBLE * high * (n - high) AS b, runs, total / n AS mean, total, power, products, ends FROM q),
-t AS (
+y AS (
   SELECT r, start, x, 1.0::DOUBLE / (1.0::DOUBLE + exp(-(1.5976::DOUBLE * z + 0.070565::DOUBLE * z * z * z))) AS p,
          CASE WHEN b * (b - n) > 0 THEN (runs - b / n - 1.0::DOUBLE) / sqrt(b * (b - n) / (n * n * (n - 1.0::DOUBLE))) ELSE 99.0::DOUBLE END AS zr,
          CASE WHEN power - n * mean * mean > 0 THEN (products - mean * (2.0::DOUBLE * total - ends) + (n - 1.0::DOUBLE) * mean * mean)
               / (power - n * mean * mean) * sqrt(n) ELSE 99.0::DOUBLE END AS zs FROM z),
+t AS (SELECT r, start, x, p, 2.0::DOUBLE / (1.0::DOUBLE + exp(1.5976::DOUBLE * abs(zr) + 0.070565::DOUBLE * abs(zr) * abs(zr) * abs(zr))) AS qr,
+        2.0::DOUBLE / (1.0::DOUBLE + exp(1.5976::DOUBLE * abs(zs) + 0.070565::DOUBLE * abs(zs) * abs(zs) * abs(zs))) AS qs FROM y),
 k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY p) AS i, count(*) OVER (PARTITION BY r) AS m FROM t),
 cut AS (SELECT r, max(p) AS cut FROM k WHERE p <= CAST(i AS DOUBLE) * {RATE}::DOUBLE / CAST(m AS DOUBLE) GROUP BY r),
+o AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY q) AS i, count(*) OVER (PARTITION BY r) AS m FROM (SELECT r, qr AS q FROM t UNION ALL SELECT r, qs FROM t)),
+orderly AS (SELECT r, max(q) AS odd FROM o WHERE q <= CAST(i AS DOUBLE) * {ORDER_RATE}::DOUBLE / CAST(m AS DOUBLE) GROUP BY r),
 v AS (
   SELECT r, kind, rank, start, x FROM s WHERE CASE kind
     WHEN 'assign' THEN length(regexp_replace(x, '^{head}', '')) >= 12 WHEN 'access' THEN length(x) >= 18 WHEN 'hex' THEN true ELSE false END
   UNION ALL
-  SELECT r, 'random', 3, start, x FROM t JOIN cut USING (r) WHERE p <= cut AND abs(zr) < {Z_MOST}::DOUBLE AND abs(zs) < {Z_MOST}::DOUBLE),
+  SELECT r, 'random', 3, start, x FROM t JOIN cut USING (r) LEFT JOIN orderly USING (r)
+    WHERE p <= cut AND qr > coalesce(odd, -1.0::DOUBLE) AND qs > coalesce(odd, -1.0::DOUBLE)),
 g AS (
   SELECT r, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _SECRETS)},
          string_agg({span}, ',' ORDER BY start, rank) FILTER (kind IN ({names})) AS base, string_agg({span}, ',' ORDER BY start, rank) AS spans
