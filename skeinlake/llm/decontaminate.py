@@ -12,10 +12,13 @@ vectorised, the stretches in which every pair of neighbouring words occurs in
 the benchmark: outside of those no window of two or more words can lie.  Only
 such stretches pass through the automaton.
 
-Size: the benchmark reaches the driver row by row and is broadcast in blocks
-of at most ``BLOCK_WORDS`` words (8 bytes each, so 16 MB a block, whatever the
-benchmark holds); a worker has the automaton of one block in memory at a time.
-The documents are read once, without a shuffle.
+Size: a benchmark is as large as its test items, not as the corpus.  It passes
+the driver row by row and is broadcast in blocks of at most ``BLOCK_WORDS``
+words (8 bytes each, so 16 MB a block, whatever the benchmark holds).  A worker
+has the automaton of one block in memory at a time; with several, it takes a
+whole Arrow batch of texts through one block after the other, so that an
+automaton is built once a batch and block.  The documents are read once,
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
 from .kernels import Powers, byte_classes, chunks, lower_values, string_buffers, word_hashes, word_spans
 
 WINDOW = 13
@@ -213,14 +217,22 @@ def _scan(texts: pa.Array, blocks: list[_Sent], window: int) -> Iterator[tuple]:
     """(rows from, first words, hits, items by row, word starts, word ends, bytes) by chunk."""
     offsets, data = string_buffers(texts)
     powers, values, is_word = Powers(), lower_values(), byte_classes("alnum")
-    for a, b in chunks(offsets):
+
+    def ready(a: int, b: int) -> tuple:
         part, rel = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         starts, ends, first = word_spans(part, rel, is_word)
         h = word_hashes(part, starts, ends, powers, values)
-        hit, found = np.zeros(len(h), bool), {}
-        for sent in blocks:
-            _block(sent, window).scan(h, first[:-1], hit, found)
-        yield a, first, hit, found, starts, ends, part, rel
+        return h, (a, first, np.zeros(len(h), bool), {}, starts, ends, part)
+
+    together: list[tuple] = []
+    for a, b in chunks(offsets):
+        together.append(ready(a, b))
+        if len(blocks) == 1 or b == len(offsets) - 1:
+            for sent in blocks:
+                for h, (_, first, hit, found, *_) in together:
+                    _block(sent, window).scan(h, first[:-1], hit, found)
+            yield from (out for _, out in together)
+            together = []
 
 
 def scan_benchmark(
@@ -250,7 +262,7 @@ def scan_benchmark(
             n = [pa.array(np.concatenate(x).astype(np.int64) if x else [], pa.int64()) for x in (words, hits)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *n, pa.array([x or empty for x in items], pa.list_(pa.string()))], ["_id", "n_words", "n_hit", "items"])
 
-    return ids.mapInArrow(work, schema).withColumnRenamed("_id", id_col)
+    return map_arrow(ids, work, schema).withColumnRenamed("_id", id_col)
 
 
 def decontaminate(
@@ -265,39 +277,48 @@ def decontaminate(
     blocks = _send(benchmark, item_col, item_text_col, block_words)
     at = docs.columns.index(text_col)
 
-    def clean(text: str) -> str:
-        while True:
-            array = pa.array([text], pa.string())
-            for _, _, hit, _, starts, ends, part, _ in _scan(array, blocks, window):
-                spans = _stretches(hit, starts, ends)
-            if not spans:
-                return text
-            kept, last = [], 0
-            raw = part.tobytes()
-            for a, b in spans:
-                kept.append(raw[last:a])
-                last = b
-            text = b"".join([*kept, raw[last:]]).decode()
+    def cleaned(texts: dict[int, str]) -> dict[int, str]:
+        """The texts of some rows, cut again as long as a cut makes new hits."""
+        open_rows = list(texts)
+        while open_rows:
+            array, still = pa.array([texts[r] for r in open_rows], pa.string()), []
+            for a, first, hit, _, starts, ends, part in _scan(array, blocks, window):
+                cuts = np.concatenate([[0], np.cumsum([len(texts[r].encode()) for r in open_rows[a : a + len(first) - 1]])])
+                for i in range(len(first) - 1):
+                    words = slice(first[i], first[i + 1])
+                    if hit[words].any():
+                        texts[open_rows[a + i]] = _without(part[cuts[i] : cuts[i + 1]].tobytes(), _stretches(hit[words], starts[words] - cuts[i], ends[words] - cuts[i]))
+                        still.append(open_rows[a + i])
+            open_rows = still
+        return texts
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, changed = np.ones(batch.num_rows, bool), {}
-            for a, first, hit, _, *_ in _scan(batch.column(at), blocks, window):
+            for a, first, hit, *_ in _scan(batch.column(at), blocks, window):
                 upto = np.concatenate([[0], np.cumsum(hit)])
                 n_hit, n_words = upto[first[1:]] - upto[first[:-1]], np.diff(first)
                 keep[a : a + len(n_hit)] = (n_hit == 0) | (coverage * n_hit < n_words)
                 for row in np.flatnonzero((n_hit > 0) & keep[a : a + len(n_hit)]):
-                    changed[a + int(row)] = clean(batch.column(at)[a + int(row)].as_py())
+                    changed[a + int(row)] = batch.column(at)[a + int(row)].as_py()
             if changed:
                 texts = batch.column(at).to_pylist()
-                for row, text in changed.items():
+                for row, text in cleaned(changed).items():
                     texts[row] = text
                 columns = batch.columns
                 columns[at] = pa.array(texts, batch.schema.field(at).type)
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch if keep.all() else batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(work, docs.schema)
+    return map_arrow(docs, work, docs.schema)
+
+
+def _without(raw: bytes, spans: list[tuple[int, int]]) -> str:
+    kept, last = [], 0
+    for a, b in spans:
+        kept.append(raw[last:a])
+        last = b
+    return b"".join([*kept, raw[last:]]).decode()
 
 
 def _stretches(hit: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:

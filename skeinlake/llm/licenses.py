@@ -16,9 +16,10 @@ need to start only at positions whose shingle a template of that size has: any w
 with matches can be moved to start at its first match without losing one.  One
 scan finds these positions, vectorised; only they are hashed into bands.
 
-One pass over the documents, no shuffle.  The template library is a parameter
-of bounded size (``MAX_WORDS``; a larger one is refused), sent to the workers
-once.
+One pass over the documents, no shuffle.  The template library is sent to the
+workers in blocks of at most ``BLOCK_WORDS`` words (a longer template is a
+block of its own).  A worker keeps one block ready; with several, it takes an
+Arrow batch of texts through one after the other.
 """
 
 from __future__ import annotations
@@ -28,16 +29,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
+from .common import map_arrow
 from .kernels import Powers, _mix, byte_classes, chain, chunks, lower_values, string_buffers, word_hashes, word_spans
 
 SHINGLE = 5
 SIMILAR = 80  # of 100
 BANDS = 24
 ROWS = 2
-MAX_WORDS = 1_000_000
+BLOCK_WORDS = 1_000_000
 _CELLS = 1 << 20  # hashes made at a time
 
 #: Names and wordings of common license notices.
@@ -179,7 +180,7 @@ def _hashes(text: str, powers: Powers, values: np.ndarray, is_word: np.ndarray)
     return word_hashes(data, starts, ends, powers, values)
 
 
-def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR, max_words: int = MAX_WORDS) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, matches) for every row of ``docs``: an array of structs of template,
     license, first_word and end_word (places among the text's words, the end
     exclusive), found and shingles (how many of the template's were found), by
@@ -193,34 +194,40 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, id_col: s
     """
     spark = docs.sparkSession
     powers, values, is_word = Powers(), lower_values(), byte_classes("alnum")
-    names, words, held = [], [], 0
+    sent, names, words, held = [], [], [], 0
     for t, name, text in (notices(spark) if templates is None else templates).select(F.col("template").cast("string"), "license", "text").toLocalIterator():
         h = _hashes(text or "", powers, values, is_word)
-        held += len(h)
-        if held > max_words:
-            raise ValueError(f"the template library has more than {max_words} words")
+        if held and held + len(h) > block_words:
+            sent.append(spark.sparkContext.broadcast((names, words)))
+            names, words, held = [], [], 0
         names.append((t, name))
         words.append(h)
-    sent = spark.sparkContext.broadcast((names, words))
+        held += len(h)
+    sent.append(spark.sparkContext.broadcast((names, words)))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = Library
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, words = sent.value
-        library = kind(words, similar)
         powers, values, is_word = Powers(), lower_values(), byte_classes("alnum")
         item = pa.struct([("template", pa.string()), ("license", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("found", pa.int64()), ("shingles", pa.int64())])
+        ready: tuple = (None, None)
         for batch in batches:
             offsets, data = string_buffers(batch.column(1))
-            found: list[list[dict]] = []
-            for a, b in chunks(offsets):
-                part, rel = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                starts, ends, first = word_spans(part, rel, is_word)
-                h = word_hashes(part, starts, ends, powers, values)
-                for i, j, may in zip(first[:-1].tolist(), first[1:].tolist(), library.rows(h, first).tolist(), strict=True):
-                    hits = library.search(h[i:j]) if may else []
-                    found.append([{"template": names[t][0], "license": names[t][1], "first_word": p, "end_word": q, "found": n, "shingles": len(library.sets[t])} for t, p, q, n in hits])
+            found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for number, block in enumerate(sent):
+                names, words = block.value
+                ready = ready if ready[0] == number else (number, kind(words, similar))
+                library = ready[1]
+                for a, b in chunks(offsets):
+                    part, rel = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                    starts, ends, first = word_spans(part, rel, is_word)
+                    h = word_hashes(part, starts, ends, powers, values)
+                    for r in np.flatnonzero(library.rows(h, first)).tolist():
+                        hits = library.search(h[first[r] : first[r + 1]])
+                        found[a + r] += [{"template": names[t][0], "license": names[t][1], "first_word": p, "end_word": q, "found": n, "shingles": len(library.sets[t])} for t, p, q, n in hits]
+            if len(sent) > 1:
+                found = [sorted(hits, key=lambda m: (m["first_word"], m["end_word"])) for hits in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(item))], ["_id", "matches"])
 
     schema = f"_id {rows.schema['_id'].dataType.simpleString()}, matches array<struct<template:string,license:string,first_word:bigint,end_word:bigint,found:bigint,shingles:bigint>>"
-    return rows.mapInArrow(work, schema).withColumnRenamed("_id", id_col)
+    return map_arrow(rows, work, schema).withColumnRenamed("_id", id_col)
