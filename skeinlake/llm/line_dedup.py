@@ -1,9 +1,11 @@
 """Line dedup by a deletion-neighbourhood join, natively (operator 1).
 
-A line goes if an earlier line (by document, then by place) is the same, or,
-for lines of at least ``WORDS`` words, lies within one edit: one word put in,
-left out or replaced.  Edits are of words: a typing error or another number
-changes one word, wherever it is, and a line has as many variants as words.
+A line goes if an earlier line (by document, then by place) is the same or lies
+within its edit bound.  An edit is one word put in, left out or replaced: a
+typing error or another number changes one word, wherever it is, and a line has
+as many variants as words.  The bound is one edit in a line, of at least
+``WORDS`` words: of fewer, one word makes too much of a difference (``page 3``
+is not a copy of ``page 4``), so for those the bound is none.
 
 * Same lines meet by a 128-bit key; only keys and places are shuffled.
 * A line's variants are what is left without one of its words.  Two lines of a
@@ -131,16 +133,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Lines are parted by newlines and compared with runs of ASCII white space
     as one space and none at the ends; blank lines are no lines and stay where
-    they are.  Null texts count as empty and come back empty.  Null identifiers
-    come first in the order.  Rows that repeat an identifier and a text are one
+    they are.  Null texts have no lines and stay null.  Null identifiers come
+    first in the order.  Rows that repeat an identifier and a text are one
     place in the order and keep the same lines.  Rows stay, even if all their
-    lines go.  Other columns pass; names that begin with an underscore are
-    taken.  An empty table gives an empty result.
+    lines go.  Other columns pass, whatever their names, but for those named
+    as the two counts, which give way.  An empty table gives an empty result.
     """
-    kept = kept_lines(docs, id_col, text_col).select(F.col("_d").alias("_kd"), F.col("_r").alias("_kr"), "kept")
-    text = text_or_empty(text_col)
-    rows = docs.withColumn("_lr", F.xxhash64(text))
-    rows = rows.join(kept, (F.col("_lr") == F.col("_kr")) & F.col(id_col).eqNullSafe(F.col("_kd")), "left").withColumnRenamed("kept", "_kept")
+    places = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows, id_at, text_at = docs.toDF(*places.values()), places[id_col], places[text_col]
+    kept = kept_lines(rows, id_at, text_at).select(F.col("_d").alias("_kd"), F.col("_r").alias("_kr"), "kept")
+    text = text_or_empty(text_at)
+    rows = rows.withColumn("_lr", F.xxhash64(text))
+    rows = rows.join(kept, (F.col("_lr") == F.col("_kr")) & F.col(id_at).eqNullSafe(F.col("_kd")), "left").withColumnRenamed("kept", "_kept")
     rows = rows.withColumn("_lines", F.split(text, "\n", -1))
     blocks = F.transform(F.sequence(F.lit(0), F.expr("CAST((size(_lines) - 1) div 64 AS INT)")), lambda b: F.struct(b.alias("b"), F.coalesce(F.element_at("_kept", b), F.lit(0).cast("long")).alias("bits")))
     rows = rows.withColumn("_blocks", blocks)
@@ -150,5 +154,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     rows = rows.withColumn("_out", F.flatten(F.transform("_blocks", some)))
     full = lambda c: F.size(F.filter(c, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
-    out = {c: F.col(c) for c in docs.columns} | {text_col: F.array_join("_out", "\n")}
+    out = {c: F.col(p) for c, p in places.items() if c not in ("n_lines", "n_kept")}
+    out[text_col] = F.when(F.col(text_at).isNotNull(), F.array_join("_out", "\n"))
     return rows.select(*[v.alias(k) for k, v in out.items()], full("_lines").alias("n_lines"), full("_out").alias("n_kept"))
