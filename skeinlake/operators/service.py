@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import remove
 from ..sources.store import Store
 from . import bm25
 from .hybrid import search_hybrid
@@ -34,7 +35,11 @@ class Service:
     def _text_index(self) -> bm25.Index:
         """Written once for a state of the table, and read until the next write."""
         if self._text is None or self._text[0] != self.store.lsn:
-            self._text = self.store.lsn, bm25.Index.cached(self.store.current(), f"{self.store.path}/text/{self.store.lsn:020d}", "description")
+            folder = f"{self.store.path}/text"
+            for name in self.store._names("text"):  # of earlier states
+                if name != f"{self.store.lsn:020d}":
+                    remove(self.store.spark, f"{folder}/{name}")
+            self._text = self.store.lsn, bm25.Index.cached(self.store.current(), f"{folder}/{self.store.lsn:020d}", "description")
         return self._text[1]
 
     def _rows(self, category: str) -> tuple[DataFrame, Any]:
