@@ -58,7 +58,7 @@ def test_odd_rows_stay_and_empty_tables_work(spark, name):
 
 def test_exact_groups_with_hot_texts(spark):
     texts = ["a  b", "a b", "c", "a\tb", None, "", "c"] + ["hot text"] * 40
-    got = {r["doc_id"]: r for r in exact_dedup(docs(spark, texts), hot_floor=10).collect()}
+    got = {r["doc_id"]: r for r in exact_dedup(docs(spark, texts)).collect()}
     assert [got[i]["keep_id"] for i in range(7)] == [0, 0, 2, 0, 4, 4, 2] and got[7]["group_size"] == 40 and got[46]["keep_id"] == 7
 
 
