@@ -8,6 +8,7 @@ sorted or shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Any
 
@@ -27,7 +28,11 @@ QUERY_ROWS, CHUNK_ROWS = 512, 4096
 
 
 def literal(vec: list[float]) -> Column:
-    return F.array(*[F.lit(float(x)).cast("float") for x in vec])
+    """A vector as one parsed expression, which the optimiser folds; a column
+    object a number would take longer to make than a small search runs."""
+    if not all(map(math.isfinite, vec)):
+        return F.array(*[F.lit(float(x)).cast("float") for x in vec])
+    return F.expr(f"array({', '.join(f'{float(x)!r}D' for x in vec)})").cast("array<float>")
 
 
 def knn(rows: DataFrame, query: list[float], k: int, metric: str = "l2") -> DataFrame:
