@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TYPES = {"int64": T.LongType(), "float64": T.DoubleType(), "bool": T.BooleanType(), "tag": T.StringType(), "text": T.StringType()}
@@ -25,6 +27,13 @@ class Attr:
             raise ValueError(f"attribute {self.name!r}: only numbers can be indexed")
 
 
+    def value(self, v: Any) -> Column:
+        """A value of this attribute as a typed column; null for none."""
+        if v is not None and type(v) is not _PYTHON[self.type]:
+            raise ValueError(f"attribute {self.name!r} holds {self.type}, not {type(v).__name__}")
+        return F.lit(v).cast(TYPES[self.type])
+
+
 @dataclass(frozen=True)
 class Schema:
     attrs: tuple[Attr, ...] = ()

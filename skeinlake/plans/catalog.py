@@ -381,6 +381,14 @@ def attr_counts(spark, sf_dir):
     return store.attr_counts(store.fold(op_log(spark, sf_dir), ATTRS), "category")
 
 
+@query(f"WITH {_STATE} SELECT category AS value, count(*) AS n FROM st WHERE category IS NOT NULL GROUP BY category")
+def attr_counts_incremental(spark, sf_dir):
+    """Counts of a snapshot, brought up to date with the log's tail (A2)."""
+    log, cut = op_log(spark, sf_dir), 2 * 10**6 + 100
+    before = store.fold(log.where(F.col("lsn") <= cut), ATTRS)
+    return store.attr_counts_after(store.attr_counts(before, "category"), before, log.where(F.col("lsn") > cut), ATTRS, "category")
+
+
 @query(_top("id % 7 <> 3"))
 def knn_after_deletes(spark, sf_dir):
     log = op_log(spark, sf_dir).where("op IN ('insert', 'delete')")
@@ -443,6 +451,8 @@ def store_recovery(spark, sf_dir):
     table.append([{"op": "set_meta", "id": r["id"], "attrs": [r["number"], "moved" if r["number"] % 50 == 7 else None]} for r in some if r["number"] % 50 in (7, 30)])
     again = store.Store(spark, at, config)
     again.verify()
+    if again.describe()["durable_lsn"] != table.lsn:
+        raise RuntimeError("a durable operation is missing")
     return again.current().select("number", "category", F.round(D.dot("vec", "vec"), 6).alias("square"))
 
 

@@ -68,6 +68,18 @@ def attr_counts(rows: DataFrame, attr: str) -> DataFrame:
     return rows.where(F.col(attr).isNotNull()).groupBy(F.col(attr).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def attr_counts_after(counted: DataFrame, before: DataFrame, tail: DataFrame, attrs: list[str], attr: str) -> DataFrame:
+    """``attr_counts`` of the state ``before`` brought up to date with the
+    operations of ``tail`` (A2): rows that these touch leave their old value
+    and enter their new one; no other row is read again."""
+    touched = tail.where("op <> 'checkpoint'").select("id").distinct()
+    old = before.join(touched, "id", "left_semi")
+    new = fold(as_log(old, attrs).unionByName(tail), attrs)
+    moved = [rows.where(F.col(attr).isNotNull()).select(F.col(attr).alias("value"), F.lit(n).cast("long").alias("n")) for rows, n in ((old, -1), (new, 1))]
+    every = counted.unionByName(moved[0]).unionByName(moved[1])
+    return every.groupBy("value").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
 class Store:
     """A keyed table on a folder that Spark reaches.
 
@@ -281,6 +293,11 @@ class Store:
             tail = tail.unionByName(as_log(self.spark.read.parquet(f"{self.path}/{self.manifest['snapshot']}"), self.attrs))
         return fold(tail, self.attrs)
 
+    def describe(self) -> dict[str, Any]:
+        """Shape and schema: what a reader may rely on, and the last durable lsn."""
+        attrs = {a.name: a.type for a in self.config.schema.attrs}
+        return {**self._facts(), "attrs": attrs, "attr_count": len(attrs), "rows": self.current().count(), "next_id": self.next_id, "durable_lsn": self.lsn}
+
     def get(self, row_id: int) -> Any:
         return self.current().where(F.col("id") == row_id).first()
 

@@ -106,6 +106,10 @@ def test_bulk_inserts_reserved_ids_and_clear(spark, tmp_path):
     for bad in (held[1], 7, 99):
         with pytest.raises(ValueError):
             table.append([{"op": "insert", "vec": [0.6], "id": bad}])
+    facts = table.describe()
+    assert facts["rows"] == 53 and facts["attrs"] == {"tag": "tag", "flag": "bool"} and facts["attr_count"] == 2 and facts["dim"] == 1 and facts["durable_lsn"] == table.lsn
+    row = spark.range(1).select(*[a.value(v).alias(a.name) for a, v in zip(SCHEMA.attrs, ["x", None], strict=True)])
+    assert [f.dataType for f in row.schema] == [f.dataType for f in SCHEMA.struct()]
     table.clear()
     assert table.current().count() == 0 and again(table).insert([1.0]) == 54
 
