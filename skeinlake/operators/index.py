@@ -7,8 +7,8 @@ a predicate:
 * ``ivf`` keeps the attributes with the vectors of its cells, so the predicate
   narrows the probed cells' scan; it probes twice as many cells as long as
   fewer than K rows match;
-* ``graph`` searches for more than K and drops what does not match, for twice
-  as many as long as fewer than K are left and there may be more.
+* ``graph`` searches for as many as should hold K matches and drops what does
+  not match, then for twice as many as long as there may be more.
 
 ``search_auto`` compares the matches only where that is cheaper by the cost
 model, else it searches the index.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import graph, ivf, planner
-from .knn import knn
+from .knn import knn, over_fetch
 from .predicate import matching
 from .schema import Config
 
@@ -136,12 +136,15 @@ class Graph(Index):
     def search(self, query, k, pred=None, strict=True, ef=None):
         ef, want, total = ef or self.params.get("ef", graph.EF_SEARCH), k, self.size()
         allowed = None if pred is None else matching(self.rows, pred, self.config.schema, strict).select("id")
+        if allowed is not None:
+            matches = allowed.count()
+            want = min(over_fetch(k, matches, total), total)
         while True:
             hits = graph.search(self.graphs, [(0, query)], want, max(ef, want)).select("id", "dist")
             if allowed is not None:
                 hits = hits.join(allowed, "id", "left_semi")
             hits = hits.orderBy("dist", "id").limit(k)
-            if allowed is None or want >= total or hits.count() >= k:
+            if allowed is None or want >= total or hits.count() >= min(k, matches):
                 return hits
             want = min(2 * want, total)
 

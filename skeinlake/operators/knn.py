@@ -128,17 +128,23 @@ def knn_pre(rows: DataFrame, query: list[float], k: int, pred: Any, schema: Sche
     return knn(matching(rows, pred, schema, strict), query, k, metric)
 
 
+def over_fetch(k: int, matches: int, total: int) -> int:
+    """How many hits to fetch at first for K matches among them."""
+    return -(-3 * k * total // (2 * matches)) if matches else total
+
+
 def knn_post(rows: DataFrame, query: list[float], k: int, pred: Any, schema: Schema, metric: str = "l2", strict: bool = True, matches: int | None = None, total: int | None = None) -> DataFrame:
-    """Search first and filter then: twice as many hits as long as fewer than K
-    of them match.  Over an exact index the result equals ``knn_pre``, which
-    reads less; this is the plan of an index that can't filter itself.
+    """Search first and filter then: as many hits as should hold K matches by
+    their share, then twice as many as long as fewer than K match.  Over an
+    exact index the result equals ``knn_pre``, which reads less; this is the
+    plan of an index that can't filter itself.
 
     ``K + rows - matches`` hits always hold K matches if there are K, so that
     is where the doubling ends.
     """
     if total is None or matches is None:
         total, matches = rows.agg(F.count(F.lit(1)), F.count(F.when(pred.column(schema, strict), 1))).first()
-    enough, want = min(k, matches), k
+    enough, want = min(k, matches), over_fetch(k, matches, total)
     allowed = matching(rows, pred, schema, strict).select("id")
     while True:
         want = min(want, k + total - matches)
