@@ -16,8 +16,8 @@ is not a copy of ``page 4``), so for those the bound is none.
 * Lines without any near partner need no variants: one edit leaves either the
   first or the last half of a line as it was, so only lines that share a half
   with another are candidates.  Nothing is lost by that.
-* Candidates' texts come from a second scan, which a bitmap of bounded
-  size thins out before the shuffle; the exact join follows.
+* Candidates' texts come from a second scan, which a bitmap of their places,
+  of bounded size, thins out before lines are looked at; the exact join follows.
 * Pairs (each line with the earliest that shares its variant, never all pairs)
   are verified word by word.
 
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, settle, text_or_empty
+from .common import SPACE, scratch, settle, text_or_empty
 from .reduce import bitmap, thinned
 
 WORDS = 8
@@ -51,11 +51,15 @@ def _normal(line: Column) -> Column:
     return F.trim(F.when(odd, F.regexp_replace(line, SPACE, " ")).otherwise(line))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _raw_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_d, _r, _no, _line): lines as they are."""
+    return _rows(docs, id_col, text_col).select("_d", "_r", F.posexplode("_lines").alias("_no", "_line"))
+
+
+def _keyed(raw: DataFrame) -> DataFrame:
     """(_d, _r, _no, line, k1, k2): lines that are not blank, normalised, with their keys."""
-    rows = _rows(docs, id_col, text_col).select("_d", "_r", F.posexplode("_lines").alias("_no", "_line"))
-    rows = rows.select("_d", "_r", "_no", _normal(F.col("_line")).alias("line")).where("line <> ''")
-    return rows.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(7), "line"))
+    lines = raw.select("_d", "_r", "_no", _normal(F.col("_line")).alias("line")).where("line <> ''")
+    return lines.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(7), "line"))
 
 
 def _half_keys(line: Column, n: Column) -> Column:
@@ -85,12 +89,12 @@ def _variants(texts: DataFrame) -> DataFrame:
     return t.select("k1", "k2", F.col("x.v").alias("v"), F.when(F.col("x.p") < 0, F.col("n")).otherwise(F.col("n") - 1).alias("len"), F.col("x.p").alias("p"))
 
 
-def _near(firsts: DataFrame, lines: DataFrame) -> DataFrame:
+def _near(firsts: DataFrame, raw: DataFrame) -> DataFrame:
     """(k1, k2): lines that are within one edit of an earlier line."""
     keyed = firsts.where(f"n >= {WORDS}").select("k1", "k2", "pos", F.explode("halves").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("key")
     found = settle(keyed.join(shared, "key").select("k1", "k2", "pos").distinct(), "candidates")
-    lines = thinned(lines.select("_d", "_r", "_no", "line", "k1", "k2"), bitmap(found, F.col("k1")), F.col("k1"))
+    lines = _keyed(thinned(raw, bitmap(found, F.xxhash64("pos._d", "pos._r", "pos._no")), F.xxhash64("_d", "_r", "_no")))
     lines = lines.select("k1", "k2", F.struct("_d", "_r", "_no").alias("pos"), F.split("line", " ").alias("w"))
     texts = settle(lines.join(found, ["k1", "k2", "pos"]).dropDuplicates(["k1", "k2"]), "candidate-lines")
 
@@ -117,12 +121,18 @@ def _near(firsts: DataFrame, lines: DataFrame) -> DataFrame:
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_d, _r, kept): for each row with kept lines, those as a map from
     ``line number div 64`` to bits."""
-    lines = _lines(docs, id_col, text_col).withColumn("n", (F.char_length("line") - F.char_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int"))
+    with scratch(docs.sparkSession):
+        return settle(_kept(docs, id_col, text_col), "kept-lines", keep=True)
+
+
+def _kept(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    raw = _raw_lines(docs, id_col, text_col)
+    lines = _keyed(raw).withColumn("n", (F.char_length("line") - F.char_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int"))
     halves = F.when(F.col("n") >= WORDS, _half_keys(F.col("line"), F.col("n")))
     keyed = lines.select("k1", "k2", F.struct("_d", "_r", "_no").alias("pos"), "n", halves.alias("halves"))
     firsts = keyed.groupBy("k1", "k2").agg(F.min("pos").alias("pos"), F.first("n").alias("n"), F.first("halves").alias("halves"))
     firsts = settle(firsts, "first-lines")
-    kept = firsts.join(_near(firsts, lines), ["k1", "k2"], "left_anti").select("pos.*")
+    kept = firsts.join(_near(firsts, raw), ["k1", "k2"], "left_anti").select("pos.*")
     bits = kept.groupBy("_d", "_r", F.expr("_no div 64").cast("int").alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, _no % 64)")).alias("bits"))
     return bits.groupBy("_d", "_r").agg(F.map_from_entries(F.collect_list(F.struct("block", "bits"))).alias("kept"))
 
