@@ -25,6 +25,8 @@ from .schema import Schema
 QUERY_BLOCK = 4096
 #: Queries and rows of one block of bulk search: a product has 2 million cells.
 QUERY_ROWS, CHUNK_ROWS = 512, 4096
+#: Rows that a task's heap may be asked to hold.
+HEAP = 1_000_000
 
 
 def literal(vec: list[float]) -> Column:
@@ -37,11 +39,12 @@ def literal(vec: list[float]) -> Column:
 
 def knn(rows: DataFrame, query: list[float], k: int, metric: str = "l2") -> DataFrame:
     """(id, dist) of the K nearest rows; fewer if there are fewer.  Planned as
-    one scan with a bounded heap a task and one merge."""
+    one scan with a bounded heap a task and one merge; a K of more than
+    ``HEAP``, if no row is left out by it, as a distributed sort."""
     if k < 0:
         raise ValueError("k must not be negative")
-    hits = rows.select("id", metric_of(metric)(F.col("vec"), literal(query)).alias("dist"))
-    return hits.orderBy("dist", "id").limit(k)
+    hits = rows.select("id", metric_of(metric)(F.col("vec"), literal(query)).alias("dist")).orderBy("dist", "id")
+    return hits if k > HEAP and rows.count() <= k else hits.limit(k)
 
 
 def knn_batch(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:

@@ -6,11 +6,8 @@ from oracle import same
 from conftest import SMALL
 from skeinlake.plans import catalog
 
-#: Whole lists of neighbours, recall loops and streams are slow to start; the driver compares them too.
-SLOW = {"knn_k_exceeds_n"}
 
-
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_sql(spark, name):
     same(spark, catalog.QUERIES[name], catalog.ORACLES[name], SMALL)
 
