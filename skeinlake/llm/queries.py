@@ -9,7 +9,7 @@ from . import toxicity
 from .common import table
 from .decontaminate import COVERAGE, scan_benchmark
 from .exact_dedup import exact_dedup
-from .licenses import NOTICES, SIMILAR, scan_licenses
+from .licenses import SIMILAR, TEMPLATES, scan_licenses
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
@@ -177,7 +177,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _licenses_sql() -> str:
     """Every window that starts at a match, for every template."""
-    rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(NOTICES))
+    rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     words = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     return f"""

@@ -11,7 +11,7 @@ from skeinlake.llm import queries as Q
 from skeinlake.llm import toxicity
 from skeinlake.llm.decontaminate import decontaminate, scan_benchmark
 from skeinlake.llm.exact_dedup import exact_dedup
-from skeinlake.llm.licenses import NOTICES, scan_licenses
+from skeinlake.llm.licenses import NOTICES, WHOLE, scan_licenses
 from skeinlake.llm.line_dedup import dedup_lines
 from skeinlake.llm.minhash import near_duplicates
 from skeinlake.llm.mixing import mix_sources
@@ -137,6 +137,10 @@ def test_licenses_near_copies_and_overlaps(spark):
     assert [m["license"] for m in got[0]] == ["MIT"] and got[0][0]["first_word"] == 100 and got[0][0]["found"] == got[0][0]["shingles"]
     assert [m["license"] for m in got[1]] == ["MIT"] and got[1][0]["found"] < got[1][0]["shingles"] and not got[2]
     assert [m["license"] for m in got[3]] == ["CC-BY-4.0"]
+    whole = dict(WHOLE)["BSD-3-Clause"]
+    found = scan_licenses(docs(spark, [whole.replace("copyright holder", "owner"), whole[:400]])).orderBy("doc_id").collect()
+    longest = [max(r["matches"], key=lambda m: m["shingles"]) for r in found]
+    assert longest[0]["license"] == "BSD-3-Clause" and longest[0]["shingles"] > 150 and longest[1]["shingles"] < 60
 
 
 def test_mix_is_whole_and_carries(spark):
