@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -21,26 +22,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_OPEN: list[list[str]] = []
+class _Open(threading.local):
+    """The lists of paths that the scratch blocks around a call remove."""
+
+    def __init__(self) -> None:
+        self.blocks: list[list[str]] = []
+
+
+_OPEN = _Open()
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """What is settled inside is removed at the end, but for what is kept."""
+    """What is settled inside is removed at the end, but for what is kept: that
+    is left to the block around this one, if there is one."""
     paths: list[str] = []
-    _OPEN.append(paths)
+    _OPEN.blocks.append(paths)
     try:
         yield
     finally:
-        _OPEN.remove(paths)
+        _OPEN.blocks.pop()
         for path in paths:
             remove(spark, path)
 
 
 def _place(spark: SparkSession, name: str, keep: bool = False) -> str:
     path = f"{shared_dir(spark)}/skeinlake/{name}"
-    if _OPEN and not keep:
-        _OPEN[-1].append(path)
+    blocks = _OPEN.blocks[:-1] if keep else _OPEN.blocks
+    if blocks:
+        blocks[-1].append(path)
     return path
 
 
@@ -76,7 +86,7 @@ def settle_by(df: DataFrame, key: str, tag: str, whole: bool = True) -> DataFram
 
 
 #: Bytes of one Arrow batch, at most (but for a single row that is longer).
-BATCH_BYTES = 64 << 20
+BATCH_BYTES = 8 << 20
 #: Rows of a small table that is broadcast; one of more rows is shuffled.
 SMALL_ROWS = 100_000
 

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, settle, settle_by, small_side
+from .common import SMALL_ROWS, map_arrow, scratch, settle, small_side
 from .components import components
 from .kernels import Powers, _mix, byte_classes, chain, chunks, lower_values, string_buffers, word_hashes, word_spans
 
@@ -170,7 +170,7 @@ def _star_pairs(nodes: DataFrame) -> DataFrame:
     number of buckets that pair them.  One bucket a band."""
     keys, draw = _keys(nodes, F.col("bands")), _Draw(nodes, -1)
     centres = keys.groupBy("key").agg(F.min(draw.order).alias("lo"), F.max(draw.order).alias("hi")).where("hi <> lo")
-    centres = centres.select("key", draw.member("lo").alias("c"))
+    centres = settle(centres.select("key", draw.member("lo").alias("c")), "star-centres")  # so that the join can split a large bucket
     pairs = keys.join(centres, "key").where("_id <> c")
     return pairs.groupBy(F.least("_id", "c").alias("a"), F.greatest("_id", "c").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
@@ -215,12 +215,17 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, known: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """The pairs (a, b), not connected so far, whose full sets are similar
-    enough; pairs whose sizes rule that out never meet their sets.  ``sets``
-    are laid out by ``_id`` and stay where they are; what moves is the pairs,
-    once with a set."""
+    enough; pairs whose sizes rule that out never meet their sets, and sets
+    without a pair stay behind if a broadcast can tell them.
+
+    Skew: the centre of a large bucket has as many pairs as that has members.
+    Each join is of two shuffled sides, of which Spark splits a large part."""
     hundred, least = F.lit(100), F.lit(similar)
     fit = hundred * F.least("na", "nb") >= least * F.greatest("na", "nb")
-    pairs = _apart(pairs.select("a", "b"), known).where(fit | F.isnull("na") | F.isnull("nb")).select("a", "b")
+    pairs = settle(_apart(pairs.select("a", "b"), known).where(fit | F.isnull("na") | F.isnull("nb")).select("a", "b"), "pairs")
+    met = settle(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct(), "met")
+    if met.count() <= SMALL_ROWS:
+        sets = sets.join(F.broadcast(met), "_id", "left_semi")
     for x in ("b", "a"):
         pairs = pairs.join(sets.select(F.col("_id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")), x)
     pairs = pairs.withColumn("_in", F.size(F.array_intersect("sa", "sb")))
@@ -250,6 +255,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as equal when their sizes and 128 bits of two order-free sums of these
     hashes agree.
     """
+    with scratch(docs.sparkSession):
+        return settle(_classes(docs, id_col, text_col, size, similar), "classes", keep=True)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, similar: int) -> DataFrame:
     kind = docs.schema[id_col].dataType
     key = F.col(id_col).cast("long") if isinstance(kind, T.IntegralType) else F.col(id_col)
     base = docs.select(key.alias("_id"), F.col(text_col).cast("string").alias("_text"))
@@ -269,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = settle(wanted, "wanted")
     # As many texts as have a partner: this join is sorted and merged at any size.
     sets = full_sets(base.join(wanted.hint("merge"), "_id"), size).where("size(s) > 0").withColumn("n", F.size("s").cast("long"))
-    sets = settle_by(sets.withColumn("h", F.xxhash64("s")).dropDuplicates(["_id", "n", "h"]).drop("h"), "_id", "sets")
+    sets = settle(sets.withColumn("h", F.xxhash64("s")).dropDuplicates(["_id", "n", "h"]).drop("h"), "sets")
 
     close = settle(nodes.join(wanted, "_id").select("_id", "bands"), "close")
     # What is known of a node: its component and, if it has one text, its size.
