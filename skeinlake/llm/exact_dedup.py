@@ -20,22 +20,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, settle, settle_by, small_side, text_or_empty
+from .common import SPACE, scratch, settle, settle_by, small_side, text_or_empty
 
 HEAD = 64
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
-    """(id, keep_id, group_size, kept, text_sha256) for every row of ``docs``.
-
-    Texts are equal when identical after each run of ASCII white space became
-    one space.  Null texts count as empty and so form a group with the empty
-    ones.  Null identifiers sort out of the way: a group keeps its smallest
-    identifier that is not null; a group of null identifiers only has a null
-    ``keep_id`` and its rows are all kept.  Rows that repeat an identifier and
-    a text share their fate.  An empty table gives an empty result; further
-    columns are ignored.  ``ranges`` sets their number, else the session does.
-    """
+def _runs(docs: DataFrame, id_col: str, text_col: str, ranges: int | None) -> DataFrame:
+    """(_range, _run, _id, _sha, _norm, _keep, _n): rows with the run that they
+    are in; texts only of the first row of a range's first and last run."""
     base = docs.select(F.col(id_col).alias("_id"), F.regexp_replace(text_or_empty(text_col), SPACE, " ").alias("_norm"))
     base = base.withColumn("_sha", F.sha2("_norm", 256)).withColumn("_head", F.substring("_norm", 1, HEAD))
     splitters = ("_head", "_sha", "_id")
@@ -49,8 +41,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     end = (F.col("_new") == 1) & ((F.col("_run") == 1) | (F.col("_run") == F.col("_last")))
     rows = runs.select("_range", "_run", "_id", "_sha", F.when(end, F.col("_norm")).alias("_norm"))  # from here on without the texts
     run = Window.partitionBy("_range", "_run")
-    rows = settle(rows.withColumn("_keep", F.min("_id").over(run)).withColumn("_n", F.count(F.lit(1)).over(run)), "runs")
+    return settle(rows.withColumn("_keep", F.min("_id").over(run)).withColumn("_n", F.count(F.lit(1)).over(run)), "runs", keep=True)
+
 
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
+    """(id, keep_id, group_size, kept, text_sha256) for every row of ``docs``.
+
+    Texts are equal when identical after each run of ASCII white space became
+    one space.  Null texts count as empty and so form a group with the empty
+    ones.  Null identifiers sort out of the way: a group keeps its smallest
+    identifier that is not null; a group of null identifiers only has a null
+    ``keep_id`` and its rows are all kept.  Rows that repeat an identifier and
+    a text share their fate.  An empty table gives an empty result; further
+    columns are ignored.  ``ranges`` sets their number, else the session does.
+    """
+    with scratch(docs.sparkSession):
+        rows = _runs(docs, id_col, text_col, ranges)
     ends = rows.where("_norm is not null").select("_range", "_run", "_sha", "_norm", "_keep", "_n")
     whole = ends.groupBy("_sha", "_norm").agg(F.min("_keep").alias("_k"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
     ends = settle(ends.join(whole, ["_sha", "_norm"]).select("_range", "_run", "_k", "_all"), "ends")  # two rows a range at most
