@@ -6,12 +6,14 @@ Documents are scored by bits a symbol; a document goes if it needs more bits
 than nearly all held-out trusted texts of its language, with some room for
 short texts.
 
-All counts are tables that grow with the corpus, and no table is collected or
+All counts are tables that grow with the corpus, and none is collected or
 broadcast.  Documents are packed into compressed blocks of about ``BLOCK``
-bytes of text.  A block asks once for each of its distinct n-grams; the asked
-n-grams join the sharded counts of four orders and their contexts; the answers
-go back by block, where the documents are scored.  So what is shuffled is the
-distinct n-grams of a block and not each of its positions.
+bytes of text (a longer text is a block of its own).  A block asks once for
+each of its distinct n-grams; the asked n-grams join the sharded counts of
+four orders and their contexts; the answers go back by block, where the
+documents are scored.  So what is shuffled is the distinct n-grams of a block
+and not each of its positions, and a worker holds the answers and the texts of
+one block at a time.
 """
 
 from __future__ import annotations
@@ -21,21 +23,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, settle_by
+from .common import map_arrow, scratch, settle, small_side
 from .reduce import bitmap, thinned
 
 BLOCK = 16 << 20
-PIECE = 1 << 20
+PIECE = 1 << 18
 QUANTILE = 0.99
 MARGIN = 0.1
 SHORT = 4.0
 HELD_OUT = 5
-MAX_LANGUAGES = 10_000
 VOCABULARY = 1 << 16
+NO_ESTIMATE = (0.5, 0.75, 0.9)
 
 _SYMBOL = np.arange(1 << 16, dtype=np.uint16)
 _SYMBOL[ord("0") : ord("9") + 1] = ord("0")
@@ -91,7 +94,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
             counts = np.bincount(back, counts, minlength=len(known)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(counts)], ["g", "c"])
 
-    return texts.mapInArrow(work, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
+    return map_arrow(texts, work, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 class Model:
@@ -112,9 +115,12 @@ class Model:
 
     @staticmethod
     def _discounts(n: list[int]) -> tuple[float, float, float]:
-        """D1, D2, D3+ from the numbers of n-grams seen once to four times."""
+        """D1, D2, D3+ from the numbers of n-grams seen once to four times.
+
+        The estimates divide by these numbers.  Where one is 0 (a corpus of a
+        few texts), the discounts are ``NO_ESTIMATE``."""
         if not all(n):
-            return 0.5, 0.75, 0.9
+            return NO_ESTIMATE
         y = n[0] / (n[0] + 2 * n[1])
         return tuple(min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0.05), i + 0.95) for i in range(3))
 
@@ -142,12 +148,13 @@ class Model:
 
 
 def _packed(docs: DataFrame, text_at: int) -> DataFrame:
-    """(block, rows, asks): compressed blocks of whole rows with their distinct 4-grams."""
+    """(block, rows, asks): compressed blocks of whole rows with their distinct
+    4-grams, numbered by partition and place in it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held, size, number, part = [], 0, 0, TaskContext.get().partitionId()
+        held, size, number = [], 0, TaskContext.get().partitionId() << 32
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
 
         def flush() -> pa.RecordBatch:
@@ -156,15 +163,16 @@ def _packed(docs: DataFrame, text_at: int) -> DataFrame:
             with pa.ipc.new_stream(sink, held[0].schema, options=options) as out:
                 for b in held:
                     out.write_batch(b)
-                    found = [pd.unique(grams(t)[0]) for _, t in _pieces(_texts(b.column(text_at)))]
-                    asks = pd.unique(np.concatenate([asks, *found]))
-            row = pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([asks], pa.list_(pa.int64()))], ["block", "rows", "asks"])
+                    for _, t in _pieces(_texts(b.column(text_at))):
+                        asks = pd.unique(np.concatenate([asks, pd.unique(grams(t)[0])]))
+            rows = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+            row = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), rows, pa.array([asks], pa.list_(pa.int64()))], ["block", "rows", "asks"])
             held, size, number = [], 0, number + 1
             return row
 
         for batch in batches:
             at = 0
-            sizes = np.array([len(x) for x in _texts(batch.column(text_at))], np.int64)
+            sizes = np.asarray(pc.utf8_length(batch.column(text_at)).fill_null(0), np.int64)
             while at < len(sizes):
                 n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), BLOCK - size, "right")))
                 held.append(batch.slice(at, n))
@@ -175,26 +183,37 @@ def _packed(docs: DataFrame, text_at: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(work, "block string, rows binary, asks array<bigint>")
+    return map_arrow(docs, work, "block bigint, rows binary, asks array<bigint>")
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``symbols`` (bigint) and ``bits`` (double, a symbol; null without symbols)."""
+    """``docs`` with ``symbols`` (bigint) and ``bits`` (double, a symbol; null
+    without symbols).  Columns of ``docs`` by these names give way."""
+    docs = docs.drop("symbols", "bits")
     at = docs.columns.index(text_col)
-    blocks = settle_by(_packed(docs, at), "block", "blocks")
+    blocks = settle(_packed(docs, at), "blocks")
     asks = blocks.select("block", F.explode("asks").alias("g"))
     answers = model.bits(asks.select("g").distinct())
-    answers = asks.join(answers, "g").groupBy("block").agg(F.collect_list(F.struct("g", "bits")).alias("answers"))
+    # A block's answers come first, its rows last: one sorted stream, nothing gathered.
+    answers = asks.join(answers, "g").select("block", F.lit(None).cast("binary").alias("rows"), "g", "bits")
+    rows = blocks.select("block", "rows", F.lit(None).cast("bigint").alias("g"), F.lit(None).cast("float").alias("bits"))
+    stream = answers.unionByName(rows).repartition("block").sortWithinPartitions("block", F.col("rows").isNotNull())
     schema = T.StructType([*docs.schema.fields, T.StructField("symbols", T.LongType()), T.StructField("bits", T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                flat = batch.column(1).slice(i, 1).flatten()
-                g, bits = (np.asarray(flat.field(k)) for k in (0, 1))
+            last = 0
+            for i in [*np.flatnonzero(np.asarray(batch.column(1).is_valid())).tolist(), batch.num_rows]:
+                held.append(tuple(np.array(batch.column(k).slice(last, i - last)) for k in (2, 3)))
+                last = i + 1
+                if i == batch.num_rows:
+                    break
+                g, bits = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+                held = []
                 order = np.argsort(g)
-                g, bits = g[order], np.append(bits[order], 0.0)
-                for b in pa.ipc.open_stream(pa.py_buffer(batch.column(0)[i].as_py())):
+                g, bits = g[order], np.append(bits[order], np.float32(0))
+                for b in pa.ipc.open_stream(batch.column(1)[i].as_buffer()):
                     n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
                     for first, texts in _pieces(_texts(b.column(at))):
                         codes, starts, ends = grams(texts)
@@ -205,45 +224,46 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
                     yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), mean], [*b.schema.names, "symbols", "bits"])
 
-    return blocks.select("block", "rows").join(answers, "block").select("rows", "answers").mapInArrow(work, schema)
+    return map_arrow(stream, work, schema)
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = QUANTILE) -> DataFrame:
-    """``docs`` with ``symbols``, ``bits`` and ``accepted``.
+    """``docs`` with ``symbols``, ``bits`` and ``accepted``; columns of ``docs``
+    by these names give way, others pass through.
 
     Trusted texts are those that ``labels`` mark 1.  Four in five of them (by
     the identifier's hash) train the model; the rest set each language's limit
     at their ``quantile`` of bits, plus ``MARGIN`` and ``SHORT`` over the root
-    of the symbols.  Languages without held-out text, and null, take the
-    highest limit.  Without any trusted text nothing is rejected but texts
-    without symbols (null or empty), which have no bits and never pass.  Rows
-    stay apart whatever their identifiers; a null identifier has no label.
-    Repeated labels count once.  Other columns pass through.
+    of the symbols.  The trusted texts that trained the model are judged by it
+    too: they are known to be good, and it favours them; only the held-out
+    fifth tells how often good texts are rejected.  Languages without held-out
+    text, and null, take the highest limit.  Without any trusted text nothing
+    is rejected but texts without symbols (null or empty), which have no bits
+    and never pass.  Rows stay apart whatever their identifiers; a null
+    identifier has no label.  Repeated labels count once.  An empty table
+    gives an empty result.
     """
+    docs = docs.drop("symbols", "bits", "accepted")
     ids = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("_l")).where("_l is not null").distinct()
     slots = bitmap(ids, F.xxhash64("_l"))
+    some = docs.select(F.col(id_col).alias("_l"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def trusted(held: bool) -> DataFrame:
         """Trusted texts on one side of the split; only these are shuffled."""
-
-        def side(c: str) -> Column:
-            return (F.crc32(F.col(c).cast("string")) % HELD_OUT == 0) == F.lit(held)
-
-        some = thinned(docs.select(id_col, text_col, lang_col).where(side(id_col)), slots, F.xxhash64(id_col))
-        some = some.join(ids.where(side("_l")).hint("merge"), F.col(id_col) == F.col("_l"))
-        return some.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+        side = (F.crc32(F.col("_l").cast("string")) % HELD_OUT == 0) == F.lit(held)
+        return thinned(some.where(side), slots, F.xxhash64("_l")).join(ids.where(side).hint("merge"), "_l").select("text", "lang")
 
     model = Model(count_grams(trusted(False).select("text")))
-    seen = score(trusted(True), model).where("bits is not null").groupBy("lang", F.floor(F.col("bits") * 100).alias("bin")).count()
-    upto = Window.partitionBy("lang").orderBy("bin")
-    seen = seen.withColumn("_upto", F.sum("count").over(upto)).withColumn("_all", F.sum("count").over(Window.partitionBy("lang")))
-    limits = seen.where(F.col("_upto") >= F.lit(quantile) * F.col("_all")).groupBy("lang").agg(F.min("bin").alias("bin"), F.max("_all").alias("rows"))
-    limits = {r["lang"]: (r["bin"] + 1) / 100 + MARGIN for r in limits.orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES).collect()}
-    rest = max(limits.values(), default=float("inf"))
-    limit = F.lit(rest)
-    known = {k: v for k, v in limits.items() if k is not None}
-    if known:
-        table = F.create_map(*[F.lit(x) for kv in sorted(known.items()) for x in kv])
-        limit = F.coalesce(F.element_at(table, F.coalesce(F.col(lang_col), F.lit(""))), limit)
-    scored = score(docs, model, text_col)
-    return scored.withColumn("accepted", F.coalesce(F.col("bits") <= limit + F.lit(SHORT) / F.sqrt("symbols"), F.lit(False)))
+    with scratch(docs.sparkSession):
+        seen = score(trusted(True), model).where("bits is not null").groupBy("lang", F.floor(F.col("bits") * 100).alias("bin")).count()
+        upto = Window.partitionBy("lang").orderBy("bin")
+        seen = seen.withColumn("_upto", F.sum("count").over(upto)).withColumn("_all", F.sum("count").over(Window.partitionBy("lang")))
+        limits = seen.where(F.col("_upto") >= F.lit(quantile) * F.col("_all")).groupBy("lang").agg(((F.min("bin") + 1) / 100 + F.lit(MARGIN)).alias("_limit"))
+        limits = settle(limits, "limits", keep=True)  # one row a language
+    rest = limits.agg(F.coalesce(F.max("_limit"), F.lit(float("inf")))).first()[0]
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    scored = score(docs.toDF(*places), model, places[docs.columns.index(text_col)])
+    lang = places[docs.columns.index(lang_col)]
+    judged = scored.join(small_side(limits.where("lang is not null")), F.col(lang) == F.col("lang"), "left")
+    accepted = F.coalesce(F.col("bits") <= F.coalesce("_limit", F.lit(rest)) + F.lit(SHORT) / F.sqrt("symbols"), F.lit(False))
+    return judged.select(*[F.col(p).alias(c) for p, c in zip(places, docs.columns, strict=True)], "symbols", "bits", accepted.alias("accepted"))
