@@ -35,25 +35,32 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epoch
 
     Sources by code point, null last, take ``weights`` in turn.  They share the
     sum of all sizes by weight, none above ``max_epochs`` times its size; what
-    capped sources leave is shared again.  In the order of cap by weight the
-    capped sources come first, so two running sums settle the sharing.  One row
-    a source: this table is as small as the list of sources.
+    capped sources leave is shared again.  As many sources as web hosts do: a
+    source's place is its place in its range of names and the sizes of the
+    ranges before, and the level at which sources are capped rises by one
+    aggregate a step until it caps no more.
     """
-    everything = Window.partitionBy(F.lit(0))
-    by_name = everything.orderBy(F.col("source").isNull(), "source")
+    named = sizes.repartitionByRange(F.col("source").isNull(), "source").withColumn("_range", F.spark_partition_id())
+    named = settle(named, "sources")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    ranges = named.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(F.col("source").isNull(), "source")) - 1 + F.col("_base")
     cycle = F.array(*[F.lit(int(w)) for w in weights])
-    t = sizes.withColumn("weight", F.element_at(cycle, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")).cast("long"))
-    t = t.withColumn("_cap", F.col("source_size") * max_epochs)
-    order = everything.orderBy((F.col("_cap") / F.col("weight")), F.col("source").isNull(), "source")
-    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("_all", F.sum("source_size").over(everything)).withColumn("_w", F.sum("weight").over(everything))
-    t = t.withColumn("_cb", F.coalesce(F.sum("_cap").over(before), F.lit(0))).withColumn("_wb", F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    full = F.col("weight") * (F.col("_all") - F.col("_cb")) >= F.col("_cap") * (F.col("_w") - F.col("_wb"))
-    t = t.withColumn("_full", F.min(full.cast("int")).over(upto) == 1)
-    t = t.withColumn("_c", F.coalesce(F.sum(F.when(F.col("_full"), F.col("_cap"))).over(everything), F.lit(0)))
-    t = t.withColumn("_wc", F.coalesce(F.sum(F.when(F.col("_full"), F.col("weight"))).over(everything), F.lit(0)))
-    share = (F.col("_all") - F.col("_c")).cast("double") * F.col("weight").cast("double") / (F.col("_w") - F.col("_wc")).cast("double")
-    return t.select("source", "source_size", "weight", F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(share).alias("target"))
+    t = named.join(ranges, "_range").withColumn("weight", F.element_at(cycle, (place % len(weights) + 1).cast("int")).cast("long"))
+    t = settle(t.select("source", "source_size", "weight", (F.col("source_size") * max_epochs).alias("_cap")), "weights")
+
+    every, heavy = t.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    capped, rest, full = 0, heavy, F.lit(False)
+    while True:
+        # What the others leave to a weight of one is no less than the cap by weight.
+        full = F.col("weight").cast("decimal(38,0)") * F.lit(every - capped) >= F.col("_cap").cast("decimal(38,0)") * F.lit(rest)
+        c, w = t.agg(F.coalesce(F.sum(F.when(full, F.col("_cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0))).first()
+        if (c, w) == (capped, rest) or not w:
+            break
+        capped, rest = c, w
+    capped, rest = c, w
+    share = F.lit(every - capped).cast("double") * F.col("weight").cast("double") / F.lit(float(rest or 1))
+    return t.select("source", "source_size", "weight", F.when(full, F.col("_cap").cast("double")).otherwise(share).alias("target"))
 
 
 def _source_key(c: Column) -> Column:

@@ -240,3 +240,21 @@ def test_exact_runs_over_several_ranges_are_one_group(spark):
     for ranges in (1, 5, 40):
         got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup(rows, ranges=ranges).collect()}
         assert got == {i: (min(ids), len(ids)) for ids in want.values() for i in ids}
+
+
+def test_targets_equal_a_sorted_sharing(spark):
+    from fractions import Fraction
+
+    from skeinlake.llm.mixing import WEIGHTS, source_targets
+
+    rng = random.Random(6)
+    for n in (1, 2, 7, 60):
+        sizes = {f"s{i:03}": rng.choice([0, 1, 5, 40, 700, 9000]) + rng.randrange(3) for i in range(n - 1)} | {None: 50}
+        names = sorted((k for k in sizes if k is not None)) + [None]
+        weight = {k: WEIGHTS[i % 3] for i, k in enumerate(names)}
+        left, heavy, target = sum(sizes.values()), sum(weight.values()), {}
+        for k in sorted(names, key=lambda k: Fraction(3 * sizes[k], weight[k])):
+            target[k] = min(Fraction(3 * sizes[k]), Fraction(left * weight[k], heavy) if heavy else Fraction(0))
+            left, heavy = left - target[k], heavy - weight[k]
+        got = {r["source"]: r["target"] for r in source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")).collect()}
+        assert set(got) == set(target) and all(abs(got[k] - float(target[k])) < 1e-6 * max(1, float(target[k])) for k in target)
