@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +39,8 @@ _OPEN = _Open()
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is settled inside is removed at the end, but for what is kept: that
-    is left to the block around this one, if there is one."""
+    is left to the block around this one, if there is one.  So are the shuffle
+    files of what was computed inside and is not referred to any more."""
     paths: list[str] = []
     _OPEN.blocks.append(paths)
     try:
@@ -44,6 +49,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _OPEN.blocks.pop()
         for path in paths:
             remove(spark, path)
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Spark deletes shuffle files when the driver collects the objects that
+    stand for them, which a driver with little to do may put off for half an
+    hour while disks fill up; so collect them now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _place(spark: SparkSession, name: str, keep: bool = False) -> str:
@@ -99,7 +113,19 @@ def map_arrow(df: DataFrame, work, schema) -> DataFrame:
     now = str(conf.get(key)).lower().rstrip("b")
     if now.isdigit() and int(now) > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
-    return df.mapInArrow(work, schema)
+
+    def tidy(batches):
+        """A worker waits for its next task with what its last one has freed;
+        give that back to the machine."""
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+            if trim:  # of glibc
+                trim(0)
+
+    return df.mapInArrow(tidy, schema)
 
 
 def small_side(table: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
