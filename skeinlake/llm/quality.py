@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, scratch, settle, small_side
+from .common import map_arrow, release, scratch, settle, small_side
 from .reduce import bitmap, thinned
 
-BLOCK = 16 << 20
+BLOCK = 32 << 20
 PIECE = 1 << 18
 QUANTILE = 0.99
 MARGIN = 0.1
@@ -155,7 +155,7 @@ def _packed(docs: DataFrame, text_at: int) -> DataFrame:
         from pyspark import TaskContext
 
         held, size, number = [], 0, TaskContext.get().partitionId() << 32
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size, number
@@ -254,6 +254,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         return thinned(some.where(side), slots, F.xxhash64("_l")).join(ids.where(side).hint("merge"), "_l").select("text", "lang")
 
     model = Model(count_grams(trusted(False).select("text")))
+    release(docs.sparkSession)  # the trusted texts have been shuffled and counted
     with scratch(docs.sparkSession):
         seen = score(trusted(True), model).where("bits is not null").groupBy("lang", F.floor(F.col("bits") * 100).alias("bin")).count()
         upto = Window.partitionBy("lang").orderBy("bin")
