@@ -8,6 +8,7 @@ sorted or shuffled.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from typing import Any
@@ -21,10 +22,14 @@ from ..functions.distance import metric as metric_of
 from .predicate import matching
 from .schema import Schema
 
-#: Queries that are broadcast at most.
+#: Queries that are broadcast, or met by one task, at most.
 QUERY_BLOCK = 4096
-#: Queries and rows of one block of bulk search: a product has 2 million cells.
-QUERY_ROWS, CHUNK_ROWS = 512, 4096
+#: Queries and rows of one block of bulk search: a product has 1 million cells.
+QUERY_ROWS, CHUNK_ROWS = 512, 2048
+#: Candidates whose distances are summed at a time.
+CANDIDATES = 1 << 18
+#: Bytes of one Arrow batch of blocks, at most (but for one block that is larger).
+BATCH_BYTES = 8 << 20
 #: Rows that a task's heap may be asked to hold.
 HEAP = 1_000_000
 
@@ -48,18 +53,9 @@ def knn(rows: DataFrame, query: list[float], k: int, metric: str = "l2") -> Data
 
 
 def knn_batch(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """(q, id, dist, rank) for a small table of queries (q, qvec).
-
-    The queries are broadcast only after their number was checked; more go
-    through ``knn_bulk``.  The rank filter becomes a group limit before the
-    shuffle, so a task sends at most K rows a query.
-    """
-    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
-        return knn_bulk(rows, queries, k, metric)
-    pairs = rows.select("id", "vec").crossJoin(F.broadcast(queries.select("q", "qvec")))
-    pairs = pairs.select("q", "id", metric_of(metric)(F.col("vec"), F.col("qvec")).alias("dist"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("dist", "id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    """(q, id, dist, rank) for a table of queries (q, qvec): ``knn_bulk``, whose
+    distances are those of single searches to the bit."""
+    return knn_bulk(rows, queries, k, metric)
 
 
 def distances(vecs: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
@@ -80,50 +76,165 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _packed(rows: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
-    """(ids, vecs): rows of at most ``size`` vectors, as arrays."""
+def exact(vecs: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of pairs, row by row, summed left to right like the native
+    columns: both agree to the bit."""
+
+    def total(terms: Iterator[np.ndarray]) -> np.ndarray:
+        out = np.zeros(len(vecs))
+        for t in terms:
+            out += t
+        return out
+
+    pairs = list(zip(vecs.T.astype(np.float64), queries.T.astype(np.float64), strict=True))
+    with np.errstate(invalid="ignore", over="ignore"):
+        if metric == "l2":
+            return total((x - y) * (x - y) for x, y in pairs)
+        dot = total(x * y for x, y in pairs)
+        if metric == "ip":
+            return -dot
+        both = np.sqrt(total(x * x for x, _ in pairs)) * np.sqrt(total(y * y for _, y in pairs))
+        return np.where(both == 0, 0.0, np.maximum(0.0, 1.0 - np.divide(dot, both, out=np.zeros_like(both), where=both != 0)))
+
+
+class Best:
+    """The K best rows so far, by (dist, id), of each query of one block.
+
+    A matrix product tells which rows may be among them, with room for its
+    rounding; only their distances are summed exactly.
+    """
+
+    def __init__(self, names: np.ndarray, queries: np.ndarray, k: int, metric: str) -> None:
+        self.names, self.queries, self.k, self.metric = names, queries, k, metric
+        self.wide = queries.astype(np.float64)
+        self.q, self.id, self.dist = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.bar = np.full(len(names), np.inf)
+
+    def meet(self, ids: np.ndarray, vecs: np.ndarray) -> None:
+        if not self.k or not len(ids) or not len(self.names):
+            return
+        wide = vecs.astype(np.float64)
+        with np.errstate(invalid="ignore", over="ignore"):
+            d = distances(wide, self.wide, self.metric)
+            room = self._room(wide)
+            bar = self.bar + room
+            if np.isinf(bar).any() or (d <= bar[:, None]).sum() > 8 * self.k * len(d):
+                most = min(self.k, len(ids))
+                here = np.partition(d, most - 1, axis=1)[:, most - 1] + 2 * room if most == self.k else np.inf
+                bar = np.fmin(bar, here)
+            q, n = np.nonzero(~(d > bar[:, None]))
+        for i in range(0, len(q), CANDIDATES):
+            self._add(q[i : i + CANDIDATES], n[i : i + CANDIDATES], ids, vecs)
+
+    def _room(self, wide: np.ndarray) -> np.ndarray:
+        """How far a product may be from the exact sum, for each query."""
+        square = (wide**2).sum(1)
+        longest, own = np.max(square, initial=0.0, where=np.isfinite(square)), (self.wide**2).sum(1)
+        scale = {"l2": own + longest, "ip": np.sqrt(own * longest), "cosine": np.ones(len(own))}[self.metric]
+        return 8 * (wide.shape[1] + 4) * np.finfo(np.float64).eps * scale
+
+    def _add(self, q: np.ndarray, n: np.ndarray, ids: np.ndarray, vecs: np.ndarray) -> None:
+        dist = exact(vecs[n], self.queries[q], self.metric)
+        near = ~(dist > self.bar[q])
+        q, i, dist = (np.concatenate(x) for x in ((self.q, q[near]), (self.id, ids[n[near]]), (self.dist, dist[near])))
+        order = np.lexsort((i, dist, q))
+        q, i, dist = q[order], i[order], dist[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        self.q, self.id, self.dist = (x[place < self.k] for x in (q, i, dist))
+        self.bar[q[place == self.k - 1]] = dist[place == self.k - 1]
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.names[self.q]), pa.array(self.id), pa.array(self.dist)], ["q", "id", "dist"])
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """Rows that hold whole blocks: a session's Arrow batches have a bound of
+    bytes, lowered to ``BATCH_BYTES``."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(key)).lower().rstrip("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def _packed(rows: DataFrame, id_col: str, vec_col: str, size: int, cell: str | None = None) -> DataFrame:
+    """(ids, vecs): rows of at most ``size`` vectors, as arrays; with ``cell``
+    after it, each of rows of one cell.  A row without a vector is near nothing."""
     stack = matrix
+    kind = np.float64 if rows.schema[vec_col].dataType.elementType.typeName() == "double" else np.float32
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, vecs, cells in gathered(batches, size):
+            for c in np.unique(cells):
+                at = np.flatnonzero(cells == c)
+                for i in range(0, len(at), size):
+                    part = at[i : i + size]
+                    pair = [pa.array([x.tobytes()], pa.binary()) for x in (ids[part], vecs[part].astype(kind))]
+                    yield pa.RecordBatch.from_arrays([*pair, pa.array([c], pa.int32())], ["ids", "vecs", "cell"])
+
+    def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Batches together, so that blocks are full: up to 16 blocks at a time."""
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+            if held and (batch is None or sum(b.num_rows for b in held) >= 16 * size):
+                ids, cells = (np.concatenate([np.asarray(b.column(c)) for b in held]) for c in (0, 2))
+                yield ids.astype(np.int64), np.concatenate([stack(b.column(1)) for b in held]), cells
+                held = []
+
+    group = F.col(cell).cast("int") if cell else F.lit(0)
+    given = rows.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long"), vec_col, group.alias("cell"))
+    packed = given.mapInArrow(work, "ids binary, vecs binary, cell int")
+    return packed if cell else packed.drop("cell")
+
+
+def best_of_pairs(pairs: DataFrame, k: int, metric: str, kinds: tuple[type, type]) -> DataFrame:
+    """(q, id, dist, rank) of pairs of blocks (ids, vecs, qids, qvecs): a task
+    keeps the K best of each block of queries that it meets, and sends them once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[bytes, Best] = {}
         for batch in batches:
-            for i in range(0, batch.num_rows, size):
-                part = batch.slice(i, size)
-                pair = np.asarray(part.column(0), np.int64).tobytes(), stack(part.column(1)).astype(np.float32).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in pair], ["ids", "vecs"])
+            for i in range(batch.num_rows):
+                ids, vecs, names, queries = (batch.column(c)[i].as_buffer() for c in range(4))
+                key = names.to_pybytes() + queries.to_pybytes()
+                if key not in met:
+                    name = np.frombuffer(names, np.int64).copy()
+                    met[key] = Best(name, np.frombuffer(queries, kinds[1]).reshape(len(name), -1).copy(), k, metric)
+                number = np.frombuffer(ids, np.int64)
+                met[key].meet(number, np.frombuffer(vecs, kinds[0]).reshape(len(number), -1))
+        for best in met.values():
+            yield best.batch()
+
+    found = bounded(pairs.select("ids", "vecs", "qids", "qvecs")).mapInArrow(work, "q bigint, id bigint, dist double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("dist", "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    return rows.select(F.col(id_col).cast("long"), vec_col).mapInArrow(work, "ids binary, vecs binary")
+
+def kinds_of(rows: DataFrame, queries: DataFrame) -> tuple[type, type]:
+    """How blocks of both sides hold their numbers."""
+    return tuple(np.float64 if d.schema[c].dataType.elementType.typeName() == "double" else np.float32 for d, c in ((rows, "vec"), (queries, "qvec")))
 
 
 def knn_bulk(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", broadcast_most: int = QUERY_BLOCK) -> DataFrame:
-    """(q, id, dist, rank) for many queries (q, qvec).
+    """(q, id, dist, rank) for many queries (q, qvec), exactly.
 
     Rows and queries are packed into blocks; every block of rows meets every
-    block of queries once, by one bounded matrix product, and sends on only the
-    K best a query (and those as far as the K-th).  The query blocks are
-    broadcast after their number was checked, else dealt out; nothing passes
-    through the driver.
+    block of queries once, by one bounded matrix product.  The packed rows are
+    dealt to all cores, however few files they came from.  The query blocks
+    are broadcast after their number was checked, else dealt out, so many to a
+    task; nothing passes through the driver.
     """
     metric_of(metric)
-    few = queries.limit(broadcast_most + 1).count() <= broadcast_most
+    if k < 0:
+        raise ValueError("k must not be negative")
+    n = queries.count()
     blocks = _packed(queries, "q", "qvec", QUERY_ROWS).toDF("qids", "qvecs")
-    pairs = _packed(rows, "id", "vec", CHUNK_ROWS).crossJoin(F.broadcast(blocks) if few else blocks)
-    compare = distances
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, vecs, names, qs = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float32 if c in (1, 3) else np.int64) for c in range(4))
-                d = compare(vecs.reshape(len(ids), -1).astype(np.float64), qs.reshape(len(names), -1).astype(np.float64), metric)
-                most = min(k, len(ids))
-                if not most:
-                    continue
-                worst = np.partition(d, most - 1, axis=1)[:, most - 1 :][:, :1]
-                q, n = np.nonzero(d <= worst)
-                yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(ids[n]), pa.array(d[q, n])], ["q", "id", "dist"])
-
-    found = pairs.mapInArrow(work, "q bigint, id bigint, dist double")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("dist", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    side = F.broadcast(blocks) if n <= broadcast_most else blocks.repartition(-(-n // QUERY_BLOCK))
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    pairs = _packed(rows, "id", "vec", CHUNK_ROWS).repartition(tasks).crossJoin(side)
+    return best_of_pairs(pairs, k, metric, kinds_of(rows, queries))
 
 
 def knn_pre(rows: DataFrame, query: list[float], k: int, pred: Any, schema: Schema, metric: str = "l2", strict: bool = True) -> DataFrame:
