@@ -309,7 +309,7 @@ SELECT id, round(sum(1.0::DOUBLE / ({rrf}::DOUBLE + rank)), 12) AS score FROM r
 def _hybrid(name: str, k: int, depth: int = 0, rrf: int = 60, pred=None, where: str = "true"):
     def run(spark, sf_dir):
         both = texts(spark, sf_dir).join(vectors(spark, sf_dir).select("id", "vec"), "id")
-        text = kept(spark, sf_dir, "hybrid-text", lambda path: bm25.Index.cached(both, path))
+        text = text_index(spark, sf_dir).within(vectors(spark, sf_dir))
         return search_hybrid(both, text, first_vector(spark, sf_dir), WORDS, k, pred, TEXT_SCHEMA, depth=depth, rrf_k=rrf)
 
     run.__name__ = name
