@@ -28,6 +28,8 @@ QUERY_BLOCK = 4096
 QUERY_ROWS, CHUNK_ROWS = 512, 2048
 #: Candidates whose distances are summed at a time.
 CANDIDATES = 1 << 18
+#: Blocks of queries that a task keeps results of at a time.
+HELD = 64
 #: Bytes of one Arrow batch of blocks, at most (but for one block that is larger).
 BATCH_BYTES = 8 << 20
 #: Rows that a task's heap may be asked to hold.
@@ -157,7 +159,7 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
-def _packed(rows: DataFrame, id_col: str, vec_col: str, size: int, cell: str | None = None) -> DataFrame:
+def packed(rows: DataFrame, id_col: str, vec_col: str, size: int, cell: str | None = None) -> DataFrame:
     """(ids, vecs): rows of at most ``size`` vectors, as arrays; with ``cell``
     after it, each of rows of one cell.  A row without a vector is near nothing."""
     stack = matrix
@@ -204,6 +206,9 @@ def best_of_pairs(pairs: DataFrame, k: int, metric: str, kinds: tuple[type, type
                     met[key] = Best(name, np.frombuffer(queries, kinds[1]).reshape(len(name), -1).copy(), k, metric)
                 number = np.frombuffer(ids, np.int64)
                 met[key].meet(number, np.frombuffer(vecs, kinds[0]).reshape(len(number), -1))
+                if len(met) > HELD:
+                    yield from (best.batch() for best in met.values())
+                    met.clear()
         for best in met.values():
             yield best.batch()
 
@@ -230,10 +235,10 @@ def knn_bulk(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", br
     if k < 0:
         raise ValueError("k must not be negative")
     n = queries.count()
-    blocks = _packed(queries, "q", "qvec", QUERY_ROWS).toDF("qids", "qvecs")
+    blocks = packed(queries, "q", "qvec", QUERY_ROWS).toDF("qids", "qvecs")
     side = F.broadcast(blocks) if n <= broadcast_most else blocks.repartition(-(-n // QUERY_BLOCK))
     tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
-    pairs = _packed(rows, "id", "vec", CHUNK_ROWS).repartition(tasks).crossJoin(side)
+    pairs = packed(rows, "id", "vec", CHUNK_ROWS).repartition(tasks).crossJoin(side)
     return best_of_pairs(pairs, k, metric, kinds_of(rows, queries))
 
 
