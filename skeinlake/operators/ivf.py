@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.distance import metric as metric_of
-from .knn import distances, literal, matrix
+from .knn import CHUNK_ROWS, QUERY_ROWS, best_of_pairs, distances, kinds_of, literal, matrix, packed
 
 NLIST, NPROBE, ITERATIONS = 100, 8, 25
 #: Files a cell is written to at most, so that a large cell is not one task.
@@ -98,9 +98,12 @@ def search(cells: DataFrame, centroids: DataFrame, query: list[float], k: int, n
 
 
 def search_batch(cells: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int = NPROBE, metric: str = "l2") -> DataFrame:
-    """(q, id, dist, rank) for a table of queries (q, qvec): probes join cells."""
+    """(q, id, dist, rank) for a table of queries (q, qvec): blocks of a cell's
+    rows, dealt to ``FILES`` parts, meet blocks of the queries that probe it."""
     near = queries.crossJoin(F.broadcast(centroids)).select("q", "qvec", "cell", metric_of(metric)(F.col("centroid"), F.col("qvec")).alias("d"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "cell"))
     probed = near.withColumn("r", rank).where(F.col("r") <= nprobe).select("q", "qvec", "cell")
-    hits = cells.select("id", "vec", "cell").join(probed, "cell").select("q", "id", metric_of(metric)(F.col("vec"), F.col("qvec")).alias("dist"))
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("dist", "id"))).where(F.col("rank") <= k)
+    asked = packed(probed.repartition("cell"), "q", "qvec", QUERY_ROWS, "cell").toDF("qids", "qvecs", "cell")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(FILES - 1))))
+    held = packed(cells.select("id", "vec", "cell"), "id", "vec", CHUNK_ROWS, "cell").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(FILES)).cast("int"))
+    return best_of_pairs(held.join(asked, ["cell", "part"]), k, metric, kinds_of(cells, queries))
