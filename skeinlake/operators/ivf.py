@@ -53,8 +53,24 @@ def sampled_rows(rows: DataFrame, nlist: int, seed: int = 42) -> DataFrame:
 
 def lloyd_step(rows: DataFrame, centroids: DataFrame, metric: str = "l2") -> DataFrame:
     """Means of the assigned rows; an empty cell keeps its centroid."""
-    at = assign(rows.select("id", "vec"), centroids, metric)
-    parts = at.select("cell", F.posexplode("vec").alias("i", "x")).groupBy("cell", "i").agg(F.round(F.avg(F.col("x").cast("double")), 12).alias("x"))
+    stack = matrix
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's number and sum of each cell's vectors."""
+        found: dict[int, list] = {}
+        for batch in batches:
+            v, cells = stack(batch.column(0)), np.asarray(batch.column(1))
+            for c in np.unique(cells).tolist():
+                mine = found.setdefault(c, [0, 0.0])
+                mine[0] += int((cells == c).sum())
+                mine[1] = mine[1] + v[cells == c].sum(0)
+        if found:
+            values = [list(found), [n for n, _ in found.values()], [x.tolist() for _, x in found.values()]]
+            kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(values, kinds, strict=True)], ["cell", "n", "total"])
+
+    at = assign(rows.select("id", "vec"), centroids, metric).select("vec", "cell").mapInArrow(sums, "cell int, n bigint, total array<double>")
+    parts = at.select("cell", "n", F.posexplode("total").alias("i", "x")).groupBy("cell", "i").agg(F.round(F.sum("x") / F.sum("n"), 12).alias("x"))
     means = parts.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
     return centroids.join(means, "cell", "left").select("cell", F.coalesce("mean", "centroid").alias("centroid"))
 
